@@ -7,13 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lonja.llm.simhash import near_duplicates
 from lonja.llm.store import Scratch
+from lonja.llm.substring_dedup import digest, remove_repeats
 from lonja.llm.tables import table
 from lonja.llm.token_files import token_digest, write_token_files
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "substrings"), window=20))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "simhash"), shingle=3, radius=3)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-files").path("ids")
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE), end_id=0)
@@ -21,6 +31,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_substring_dedup": op6_substring_dedup,
+    "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
 }
 
