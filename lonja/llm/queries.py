@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lonja.llm.decontam import contaminated
+from lonja.llm.langid import identify
 from lonja.llm.simhash import near_duplicates
 from lonja.llm.store import Scratch
 from lonja.llm.substring_dedup import digest, remove_repeats
@@ -16,6 +18,14 @@ from lonja.llm.token_files import token_digest, write_token_files
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), profile_size=400)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "substrings"), window=20))
 
@@ -31,6 +41,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op4_decontamination": op4_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
