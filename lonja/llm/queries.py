@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lonja.llm.decontam import contaminated
 from lonja.llm.langid import identify
+from lonja.llm.mixing import mix
+from lonja.llm.ogg import read_media_column, store_media
 from lonja.llm.simhash import near_duplicates
 from lonja.llm.store import Scratch
 from lonja.llm.substring_dedup import digest, remove_repeats
@@ -18,6 +20,10 @@ from lonja.llm.token_files import token_digest, write_token_files
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_media_column(store_media(table(spark, sf_dir, "documents")))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), profile_size=400)
 
@@ -26,6 +32,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), Scratch(spark, "mixing"), weights=(1, 2, 3), share=1.0, most=3.0)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "substrings"), window=20))
 
@@ -41,11 +51,44 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ogg": op1_ogg,
     "op2_language_id": op2_language_id,
     "op4_decontamination": op4_decontamination,
+    "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_MIXING_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS hash
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY source
+), filling AS (
+  SELECT *, 3 * source_size AS most, sum(source_size) OVER () AS total,
+         coalesce(sum(3 * source_size) OVER (ORDER BY 3.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fixed,
+         sum(weight) OVER (ORDER BY 3.0 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+  FROM sources
+), level AS (
+  SELECT coalesce(max((total - fixed)::DOUBLE / open_weight::DOUBLE), 0) AS level FROM filling
+), aims AS (
+  SELECT source, source_size, least(most::DOUBLE, level * weight) AS target FROM filling, level
+), ranked AS (
+  SELECT d.doc_id, d.size, a.source_size, a.target,
+         CASE WHEN a.source_size > 0 THEN floor(a.target / a.source_size) ELSE 0 END AS full_copies,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up_to,
+         sum(d.size) OVER (PARTITION BY d.source, d.hash) AS own
+  FROM sized d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source
+)
+SELECT doc_id, size, source_size, target,
+       (size * (full_copies + CASE WHEN 2 * up_to - own <= 2 * (target - full_copies * source_size) AND target > full_copies * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ranked
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": _MIXING_SQL,
+}
