@@ -9,16 +9,18 @@ come from the tokenizers library, the vocabulary file being a parameter.
 from __future__ import annotations
 
 import re
+import struct
+from collections.abc import Callable
 
 import numpy as np
 
-#: Cached pieces of each Python worker; about 200 bytes each.
-CACHE_ENTRIES = 800_000
+#: Pieces in each of the two generations of a Python worker's cache; about 200 bytes each.
+CACHE_ENTRIES = 600_000
 
 #: A space beside other white space or at an end: the boundary rule does not cover these texts.
 _IRREGULAR = re.compile(r"\s |^ | \s| $")
 #: Latin letters, then common punctuation: exactly one or two pre-tokens, with or without a space before the letters.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]*)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]*)")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -29,24 +31,34 @@ def byte_symbols() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian 32-bit ids (``encode``) with a bounded cache of pieces."""
+    """Encodes texts (``encode``) with a bounded cache of pieces.
+
+    The result is bytes of little-endian 32-bit integers: the ids, or with ``spans`` the begin and end of each token in
+    characters, from the start of the piece while cached.
+    """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.symbols = byte_symbols()
-        self.cache = _Pieces(self, entries)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.symbols = {b: ord(symbol) for b, symbol in byte_symbols().items()}
+        self.spaced, self.bare = _Pieces(self, " ", entries), _Pieces(self, "", entries // 8)
+
+    @staticmethod
+    def pack(values: list[int]) -> bytes:
+        return struct.pack(f"<{len(values)}I", *values)
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def piece(self, text: str) -> bytes:
-        plain = _PLAIN.fullmatch(text)
-        if plain is None:
-            return self.whole(text)
-        ids = [token.id for part in plain.groups() if part for token in self.tokenizer.model.tokenize("".join(self.symbols[b] for b in part.encode()))]
-        return np.asarray(ids, "<u4").tobytes()
+    def pretoken(self, text: str) -> bytes:
+        """Ids of what the pre-tokenizer keeps together."""
+        return self.pack([token.id for token in self.tokenize(text.encode().decode("latin-1").translate(self.symbols))])
+
+    def joined(self, left: bytes, width: int, right: bytes) -> bytes:
+        """The result for a text of ``width`` characters with another text after it."""
+        return left + right
 
     def encode(self, text: str) -> bytes:
         if _IRREGULAR.search(text):
@@ -54,28 +66,92 @@ class PieceEncoder:
         first, space, rest = text.partition(" ")
         if not space:
             return self.whole(text)
-        return self.piece(first) + b"".join(map(self.cache.__getitem__, rest.split(" ")))
+        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest.split(" ")))
+
+
+class SpanFinder(PieceEncoder):
+    """Character spans of the tokens of a text (``spans``), by the same decomposition."""
+
+    def whole(self, text: str) -> bytes:
+        return self.pack([x for span in self.tokenizer.encode(text, add_special_tokens=False).offsets for x in span])
+
+    def pretoken(self, text: str) -> bytes:
+        data = text.encode()
+        # Character that each byte belongs to.
+        owner = range(len(data)) if len(data) == len(text) else [i for i, c in enumerate(text) for _ in c.encode()]
+        values, at = [], 0
+        for token in self.tokenize(data.decode("latin-1").translate(self.symbols)):
+            values += (owner[at], owner[at + len(token.value) - 1] + 1)
+            at += len(token.value)
+        return self.pack(values)
+
+    def joined(self, left: bytes, width: int, right: bytes) -> bytes:
+        return left + (np.frombuffer(right, "<u4") + np.uint32(width)).tobytes()
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends in characters."""
+        if not text:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first, space, rest = text.partition(" ")
+        if not space or _IRREGULAR.search(text):
+            found = np.frombuffer(self.whole(text), "<u4").reshape(-1, 2).astype(np.int64)
+            return found[:, 0], found[:, 1]
+        pieces = rest.split(" ")
+        coded = [self.bare[first], *map(self.spaced.__getitem__, pieces)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 8
+        widths = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        bases = np.concatenate([[0], len(first) + np.cumsum(widths) - widths])
+        found = np.frombuffer(b"".join(coded), "<u4").reshape(-1, 2) + np.repeat(bases, sizes)[:, None]
+        return found[:, 0], found[:, 1]
 
 
 class _Pieces(dict):
-    """Ids of ``" " + key``; starts afresh when full."""
+    """Results for ``before + key`` in two generations: when the young one is full it becomes the old one, whose entries
+    return to the young one as they are used again."""
 
-    def __init__(self, encoder: PieceEncoder, entries: int):
+    def __init__(self, encoder: PieceEncoder, before: str, entries: int):
         super().__init__()
-        self.encoder, self.entries = encoder, entries
+        self.encoder, self.before, self.entries = encoder, before, entries
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
+        found = self.old.pop(key, None)
+        if found is None:
+            join, lines = self.encoder.joined, key.split("\n")
+            if len(lines) > 1 and all(map(_PLAIN.fullmatch, lines)):
+                # A line break between other characters is a pre-token; what follows has no space before it.
+                found, width, line_break = self[lines[0]], len(self.before) + len(lines[0]), self.encoder.pretoken("\n")
+                for line in lines[1:]:
+                    found = join(join(found, width, line_break), width + 1, self.encoder.bare[line])
+                    width += 1 + len(line)
+                return found
+            plain = _PLAIN.fullmatch(key)
+            if plain is None:
+                found = self.encoder.whole(self.before + key)
+            elif plain[2]:
+                found = join(self[plain[1]], len(self.before) + len(plain[1]), self.encoder.pretoken(plain[2]))
+            else:
+                found = self.encoder.pretoken(self.before + key)
         if len(self) >= self.entries:
+            self.old = dict(self)
             self.clear()
-        ids = self[key] = self.encoder.piece(" " + key)
-        return ids
+        self[key] = found
+        return found
+
 
+_kept: dict[tuple[type, str], PieceEncoder] = {}
 
-_encoders: dict[str, PieceEncoder] = {}
+
+def _of(kind: type, path: str) -> PieceEncoder:
+    """The worker's own, kept between tasks."""
+    if (kind, path) not in _kept:
+        _kept[kind, path] = kind(path)
+    return _kept[kind, path]
 
 
 def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder for a vocabulary file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return _of(PieceEncoder, path)
+
+
+def spans(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
+    return _of(SpanFinder, path).spans
