@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lonja.llm.decontam import contaminated
 from lonja.llm.langid import identify
+from lonja.llm.line_dedup import line_report, removed_lines
 from lonja.llm.mixing import mix
 from lonja.llm.ogg import read_media_column, store_media
+from lonja.llm.sharding import place
 from lonja.llm.simhash import near_duplicates
 from lonja.llm.store import Scratch
 from lonja.llm.substring_dedup import digest, remove_repeats
 from lonja.llm.tables import table
+from lonja.llm.token_counts import section_tokens
 from lonja.llm.token_files import token_digest, write_token_files
 
 BYTE_BPE = "byte_bpe_50k.json"
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), profile_size=400)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), rule="largest")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
 
@@ -40,6 +48,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "substrings"), window=20))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_report(docs, removed_lines(docs, Scratch(spark, "lines"), least_chars=10))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "simhash"), shingle=3, radius=3)
 
@@ -53,9 +70,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
     "op2_language_id": op2_language_id,
+    "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_sharding": op7_sharding,
+    "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
 }
