@@ -179,5 +179,5 @@ def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.1) -> DataFram
 
     Rows that share a ``doc_id`` are one document: if one is contaminated, all go.
     """
-    hit = contaminated(docs, items, rate).select("doc_id").distinct().withColumnRenamed("doc_id", "hit_id")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    hit = contaminated(docs, items, rate).select("doc_id").distinct()
+    return docs.alias("d").join(hit.alias("h"), F.expr("d.doc_id <=> h.doc_id"), "left_anti")

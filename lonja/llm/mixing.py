@@ -121,6 +121,7 @@ def mix(docs: DataFrame, scratch: Scratch, **options: object) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, scratch: Scratch, **options: object) -> DataFrame:
     """The rows of the mix with all their columns; a row taken several times stands several times."""
-    plan = plan_mix(docs, scratch, **options).where("copies > 0").select(F.col("doc_id").alias("k"), F.col("source").alias("o"), "copies").distinct()
-    taken = docs.join(plan, F.expr("doc_id <=> k and source <=> o"))
-    return taken.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = plan_mix(docs, scratch, **options).where("copies > 0").select("doc_id", "source", "copies").distinct()
+    taken = docs.alias("d").join(plan.alias("p"), F.expr("d.doc_id <=> p.doc_id and d.source <=> p.source"))
+    rows = taken.select(F.struct("d.*").alias("row"), F.explode(F.expr("sequence(1L, p.copies)")).alias("copy"))
+    return rows.select("row.*")

@@ -147,7 +147,8 @@ def links(prints: DataFrame, radius: int = 3, slice_rows: int = 2048) -> DataFra
     """
     bands = radius + 1
     width = 64 // bands
-    values = [F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << (width if i < bands - 1 else 64 - i * width)) - 1)) for i in range(bands)]
+    # The last band takes the bits that are left, so only the others need a mask.
+    values = [F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1 if i < bands - 1 else -1)) for i in range(bands)]
     banded = prints.select("fp", F.posexplode(F.array(*values)).alias("band", "value")).select("fp", F.xxhash64("band", "value").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
     sliced = banded.join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("slices")).cast("int"))
