@@ -14,6 +14,10 @@ from lonja.operators.align import concat_diagonal, header_names
 from lonja.operators.order import number_rows
 
 
+#: Cells keep their outer blanks; an empty cell is written as nothing.
+_WRITE = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def _read_one(spark: SparkSession, path: str, verbatim: bool) -> DataFrame:
     head = spark.read.option("header", False).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
     first = head.limit(1).collect()
@@ -54,7 +58,7 @@ def write_csv(df: DataFrame, path: str, order: str | None = "_ord", mode: str =
     """A folder of CSV parts with headers; parts follow the order."""
     ordered = df.orderBy(order) if order and order in df.columns else df
     data = guarded(ordered.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_")]))
-    data.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    data.write.mode(mode).options(**_WRITE).csv(path)
 
 
 def write_parts(df: DataFrame, path: str, rows_each: int, order: str = "_ord", mode: str = "errorifexists") -> None:
@@ -63,7 +67,7 @@ def write_parts(df: DataFrame, path: str, rows_each: int, order: str = "_ord", m
     parts = numbered.withColumn("part", (F.floor(F.col("_n") / rows_each) + 1).cast("int"))
     data = guarded(parts.select("part", "_n", *[F.col(f"`{c}`") for c in df.columns if not c.startswith("_")]))
     dealt = data.repartition("part").sortWithinPartitions("part", "_n").drop("_n")
-    dealt.write.mode(mode).partitionBy("part").option("header", True).option("escape", '"').csv(path)
+    dealt.write.mode(mode).partitionBy("part").options(**_WRITE).csv(path)
 
 
 def write_routes(routes: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:

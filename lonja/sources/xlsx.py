@@ -38,7 +38,7 @@ def number_text(value: float) -> str:
     """Whole numbers below 1e15 as integers, others as the shortest decimal, never with an exponent."""
     if math.isfinite(value) and value == int(value) and abs(value) < 1e15:
         return str(int(value))
-    return format(Decimal(repr(value)), "f") if math.isfinite(value) else repr(value)
+    return format(Decimal(repr(value)), "f").removesuffix(".0") if math.isfinite(value) else repr(value)
 
 
 def column_index(reference: str) -> int | None:
