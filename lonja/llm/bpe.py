@@ -17,12 +17,18 @@ import numpy as np
 #: Pieces in each of the two generations of a Python worker's cache; about 200 bytes each.
 CACHE_ENTRIES = 600_000
 
-#: A space beside other white space or at an end: the boundary rule does not cover these texts.
-_IRREGULAR = re.compile(r"\s |^ | \s| $")
+#: White space of any kind, and what of it ASCII holds: beside a space, the boundary rule does not cover the text.
+_SPACES = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+_BESIDE = {ascii_only: [pair for c in _SPACES if c.isascii() or not ascii_only for pair in (c + " ", " " + c)] for ascii_only in (True, False)}
 #: Latin letters, then common punctuation: exactly one or two pre-tokens, with or without a space before the letters.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]*)")
 
 
+def is_irregular(text: str) -> bool:
+    """A space beside other white space or at an end. Substring searches beat one pattern many times over."""
+    return text[:1] == " " or text[-1:] == " " or any(pair in text for pair in _BESIDE[text.isascii()])
+
+
 def byte_symbols() -> dict[int, str]:
     """The printable character that a byte-level vocabulary writes for each byte: itself if visible, else from U+0100 on."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -61,7 +67,7 @@ class PieceEncoder:
         return left + right
 
     def encode(self, text: str) -> bytes:
-        if _IRREGULAR.search(text):
+        if is_irregular(text):
             return self.whole(text)
         first, space, rest = text.partition(" ")
         if not space:
@@ -93,7 +99,7 @@ class SpanFinder(PieceEncoder):
         if not text:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         first, space, rest = text.partition(" ")
-        if not space or _IRREGULAR.search(text):
+        if not space or is_irregular(text):
             found = np.frombuffer(self.whole(text), "<u4").reshape(-1, 2).astype(np.int64)
             return found[:, 0], found[:, 1]
         pieces = rest.split(" ")
