@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lonja.llm.decontam import contaminated
 from lonja.llm.langid import identify
@@ -54,7 +55,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return line_report(docs, removed_lines(docs, Scratch(spark, "lines"), least_chars=10))
+    report = line_report(docs, removed_lines(docs, Scratch(spark, "lines"), least_chars=10))
+    return report.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +111,47 @@ SELECT doc_id, size, source_size, target,
 FROM ranked
 """
 
+_SUBSTRING_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), windows AS (
+  SELECT doc_id, start, array_to_string(words[start:start + 19], ' ') AS content FROM docs, unnest(range(1, len(words) - 18)) AS t(start)
+), later AS (
+  SELECT doc_id, start FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, start) AS turn FROM windows) WHERE turn > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT start + step) AS places FROM later, range(0, 20) AS t(step) GROUP BY doc_id
+)
+SELECT d.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+       sha256(array_to_string(list_filter(words, lambda w, i: NOT coalesce(list_contains(places, i), false)), ' ')) AS kept_sha256
+FROM docs d LEFT JOIN gone g ON d.doc_id = g.doc_id
+"""
+
+_LINE_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(string_split(text, chr(10)), []) AS ls FROM documents
+), lines AS (
+  SELECT doc_id, i - 1 AS line_no, ls[i] AS line, length(ls[i]) AS n FROM docs, unnest(range(1, len(ls) + 1)) AS t(i) WHERE length(ls[i]) >= 10
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM lines
+), distinct_lines AS (
+  SELECT line, n, min(place) AS place FROM ranked GROUP BY line, n
+), halves AS (
+  SELECT line, place, n + more AS m, side, CASE side WHEN 'first' THEN left(line, (n + more) // 2) ELSE right(line, (n + more) // 2) END AS half
+  FROM distinct_lines, (VALUES (0), (1)) AS a(more), (VALUES ('first'), ('last')) AS b(side)
+), near AS (
+  SELECT DISTINCT a.line FROM halves a JOIN halves b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND b.place < a.place
+  WHERE levenshtein(a.line, b.line) <= 1
+), gone AS (
+  SELECT r.doc_id, r.line_no FROM ranked r JOIN distinct_lines d ON r.line = d.line LEFT JOIN near x ON r.line = x.line
+  WHERE r.place <> d.place OR x.line IS NOT NULL
+), per_doc AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS removed FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.ls) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM docs d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": _MIXING_SQL,
+    "op6_substring_dedup": _SUBSTRING_SQL,
+    "op8_line_dedup": _LINE_SQL,
 }
