@@ -9,7 +9,7 @@ come from the tokenizers library, the vocabulary file being a parameter.
 from __future__ import annotations
 
 import re
-import struct
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -49,18 +49,25 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.symbols = {b: ord(symbol) for b, symbol in byte_symbols().items()}
+        self.space, self.line_break = chr(self.symbols[32]), chr(self.symbols[10])
         self.spaced, self.bare = _Pieces(self, " ", entries), _Pieces(self, "", entries // 8)
 
     @staticmethod
     def pack(values: list[int]) -> bytes:
-        return struct.pack(f"<{len(values)}I", *values)
+        return array("I", values).tobytes()
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def pretoken(self, text: str) -> bytes:
         """Ids of what the pre-tokenizer keeps together."""
-        return self.pack([token.id for token in self.tokenize(text.encode().decode("latin-1").translate(self.symbols))])
+        return self.pack([token.id for token in self.tokenize(self.symbolic(text))])
+
+    def symbolic(self, text: str) -> str:
+        """The text's bytes as the vocabulary writes them; of ASCII pre-tokens only white space is written otherwise."""
+        if text.isascii():
+            return text.replace(" ", self.space).replace("\n", self.line_break)
+        return text.encode().decode("latin-1").translate(self.symbols)
 
     def joined(self, left: bytes, width: int, right: bytes) -> bytes:
         """The result for a text of ``width`` characters with another text after it."""
@@ -86,7 +93,7 @@ class SpanFinder(PieceEncoder):
         # Character that each byte belongs to.
         owner = range(len(data)) if len(data) == len(text) else [i for i, c in enumerate(text) for _ in c.encode()]
         values, at = [], 0
-        for token in self.tokenize(data.decode("latin-1").translate(self.symbols)):
+        for token in self.tokenize(self.symbolic(text)):
             values += (owner[at], owner[at + len(token.value) - 1] + 1)
             at += len(token.value)
         return self.pack(values)
@@ -123,8 +130,8 @@ class _Pieces(dict):
     def __missing__(self, key: str) -> bytes:
         found = self.old.pop(key, None)
         if found is None:
-            join, lines = self.encoder.joined, key.split("\n")
-            if len(lines) > 1 and all(map(_PLAIN.fullmatch, lines)):
+            join, lines = self.encoder.joined, key.split("\n") if "\n" in key else ()
+            if lines and all(map(_PLAIN.fullmatch, lines)):
                 # A line break between other characters is a pre-token; what follows has no space before it.
                 found, width, line_break = self[lines[0]], len(self.before) + len(lines[0]), self.encoder.pretoken("\n")
                 for line in lines[1:]:
