@@ -45,7 +45,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -70,7 +70,7 @@ class Rolling:
 
     def span(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
         running, back = self.sums[which]
-        return _mix((running[ends] - running[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+        return mix((running[ends] - running[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 def paths_of(rolling: Rolling, n_words: int, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +82,7 @@ def paths_of(rolling: Rolling, n_words: int, window: int, seed: int) -> tuple[np
     starts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
     counts = np.diff(np.concatenate([starts, [n]]))
     offset = (owner[starts] - starts).astype(np.uint64)
-    content = _mix(rolling.span(starts, starts + counts + window - 1, 1) + offset)
+    content = mix(rolling.span(starts, starts + counts + window - 1, 1) + offset)
     return grams[owner[starts]], content, starts, counts
 
 
@@ -127,7 +127,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 20, seed: in
     """
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
     paths = docs.mapInArrow(_paths(window, seed), "minimizer long, content long, doc_id long, start int, n int")
-    again = paths.groupBy("minimizer").agg(F.count("*").alias("times")).where("times > 1").select("minimizer")
+    # Written first: a join whose sides are plain exchanges can be split where a minimizer is hot.
+    again = scratch.write(paths.groupBy("minimizer").agg(F.count("*").alias("times")).where("times > 1").select("minimizer"), "again")
     found = scratch.write(paths.join(again, "minimizer"), "paths")
 
     firsts = found.groupBy("minimizer", "content").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.first("n").alias("n"))
@@ -138,12 +139,13 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 20, seed: in
     edges = docs.join(per_doc, "doc_id").mapInArrow(_edges(window), "k1 long, k2 long, doc_id long, start int")
     edges = scratch.write(edges, "edges")
     sources = edges.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count("*").alias("times"))
-    later = edges.join(sources.where("times > 1"), ["k1", "k2"]).where("doc_id <> source.doc_id or start <> source.start")
+    sources = scratch.write(sources.where("times > 1").select("k1", "k2", "source"), "sources")
+    later = edges.join(sources, ["k1", "k2"]).where("doc_id <> source.doc_id or start <> source.start")
 
     copies = found.join(firsts.select("minimizer", "content", "source"), ["minimizer", "content"]).where("doc_id <> source.doc_id or start <> source.start")
     spans = copies.select("doc_id", "start", "n").union(later.select("doc_id", "start", F.lit(1).alias("n")))
     spans = scratch.write(spans, "spans")
-    scratch.drop("paths", "nodes", "edges")
+    scratch.drop("again", "paths", "nodes", "edges", "sources")
     return spans.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
 
 
