@@ -124,8 +124,7 @@ def test_hot_bands_are_cut_into_cells(spark, monkeypatch):
     nodes = [v - (1 << 64) if v >> 63 else v for v in values]
     expected = linked([(a, b) for a in nodes for b in nodes if a < b and (a ^ b).bit_count() <= 3 or a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3], nodes)
     for slice_rows in (2048, 40):
-        found = simhash.links(spark.createDataFrame([(n,) for n in nodes], "fp long").repartition(3), 3, slice_rows).collect()
-        assert all(((r.u ^ r.v) & (2**64 - 1)).bit_count() <= 3 for r in found if slice_rows == 2048) or True
+        found = simhash.links(spark.createDataFrame([(n, n) for n in nodes], "node long, fp long").repartition(3), 3, slice_rows).collect()
         assert linked([(r.u, r.v) for r in found], nodes) == expected
 
 
@@ -133,11 +132,36 @@ def test_keep_one(make_docs, scratch, corpus):
     docs = make_docs(corpus + [(None, "no id")])
     kept = simhash.keep_one(docs, scratch)
     ids = [r.doc_id for r in kept.collect()]
-    expected = {c for _, _, c in classes_by_hand(corpus, 3)}
-    assert kept.columns == docs.columns and set(ids) == expected | {None} and len(ids) == len(set(ids))
+    # Exact copies, near copies (one word of two hundred changed) and texts of one shingle leave their first; others stay.
+    gone = {31, 32, 33, 40, 41, 42, 43, 44, 45, 61, 64, 65}
+    assert kept.columns == docs.columns and set(ids) == {i for i, _ in corpus} - gone | {None} and len(ids) == len(set(ids))
     assert simhash.keep_one(make_docs([]), scratch).count() == 0
 
 
+def jaccard(a, b, n=5):
+    one, two = ({tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} for t in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def test_sketch_follows_similarity():
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    limit = simhash.sketch_limit(0.8)
+    near = far = 0
+    for edits in range(1, 40):
+        other = list(base)
+        for at in rng.sample(range(400), edits):
+            other[at] = f"x{at}"
+        one, two = (np.frombuffer(simhash.sketch(" ".join(t)), np.uint64) for t in (base, other))
+        distance, similarity = int(np.bitwise_count(one ^ two).sum()), jaccard(" ".join(base), " ".join(other))
+        near += similarity >= 0.88
+        far += similarity <= 0.7
+        assert distance <= limit if similarity >= 0.88 else True
+        assert distance > limit if similarity <= 0.7 else True
+    assert near > 3 and far > 10
+    assert simhash.sketch(None) == simhash.sketch(" ") == bytes(64)
+
+
 def test_components_of_random_graphs(spark, scratch):
     rng = random.Random(12)
     pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(500, i) for i in range(300, 400)] + [(7, 7)]
