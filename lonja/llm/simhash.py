@@ -14,10 +14,12 @@ Links
     its links, never all pairs. Components come from distributed star contraction.
 
 Similar texts
-    ``similar_groups`` serves filtering stages, which need a stated similarity rather than a radius: candidates are
-    fingerprints within a wide radius, and a link also needs the ``SKETCH``-bit SimHash of the texts' five-word shingle sets
-    to agree as often as two sets of Jaccard similarity 0.8 do on average. Its distance has a standard deviation of 8 bits
-    there, a similarity of 0.04. Sketches travel with the fingerprints, so links are checked inside the cell.
+    ``similar_groups`` serves filtering stages, which need a stated similarity: a link is a Jaccard similarity of at least 0.8
+    of the texts' sets of five-word shingles, computed on the sets. Everything before that only chooses whom to compare.
+    Equal sets are one node. ``BANDS`` groups of ``ROWS`` min-hashes deal nodes to cells; a pair at 0.8 shares no cell with a
+    probability of 3e-6. In a cell, pairs go on whose set sizes allow the similarity and whose ``SKETCH``-bit SimHashes differ
+    in no more bits than the mean of a pair at 0.8 plus four standard deviations. A first round compares each row's nearest
+    row and the cell's best connected one; the second compares every pair that the first has not already put in one component.
 
 Edge cases
     Null text has no words. Null ``doc_id``: the row is kept, its component is named by the smallest non-null ``doc_id``
@@ -45,8 +47,10 @@ SEED = 42
 _BLOCK = 1 << 16
 #: Side of a comparison tile.
 _TILE = 512
-#: Bits of the sketch that verifies similar texts.
+#: Bits of the sketch that chooses the pairs of similar texts to compare.
 SKETCH = 512
+#: Min-hash groups of similar texts, and min-hashes in each.
+BANDS, ROWS = 24, 4
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -77,13 +81,21 @@ def _bit_counts(words: np.ndarray) -> np.ndarray:
     return ones
 
 
-def sketch(text: str | None, shingle: int = 5) -> bytes:
-    """The long SimHash of the set of a text's shingles; all zero if there are no words."""
+def grams(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The set of a text's shingles as sorted hashes; empty if there are no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(SKETCH // 8)
+        return np.empty(0, np.uint64)
     starts = np.arange(max(1, len(words) - shingle + 1))
-    hashes = np.unique(Rolling(words).span(starts, np.minimum(starts + shingle, len(words))))
+    return np.unique(Rolling(words).span(starts, np.minimum(starts + shingle, len(words))))
+
+
+def sketch(text: str | None, shingle: int = 5) -> bytes:
+    """The long SimHash of the set of a text's shingles; all zero if there are no words."""
+    return _sketch(grams(text, shingle))
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
     ones = np.zeros(SKETCH, np.int64)
     steps = (np.arange(SKETCH // 64, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(hashes), _BLOCK // 8):
@@ -91,9 +103,24 @@ def sketch(text: str | None, shingle: int = 5) -> bytes:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
 
 
-def sketch_limit(similarity: float) -> int:
-    """Expected differing bits of two equally large sets of that Jaccard similarity."""
-    return round(SKETCH * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def sketch_limit(similarity: float, deviations: float = 0) -> int:
+    """Expected differing bits of two equally large sets of that Jaccard similarity, plus so many standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(SKETCH * share + deviations * math.sqrt(SKETCH * share * (1 - share)))
+
+
+_TURNS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit value for each band; sets share each with the probability of their similarity to the power of ``ROWS``."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * _TURNS).min(axis=0), out=least)
+    value = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + row)
+    return value
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -136,7 +163,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
         label = after
 
 
-def cell_links(side: np.ndarray, prints: np.ndarray, radius: int, sketches: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(side: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that link a cell: within its rows if there is one side, else between the two sides."""
     order = np.argsort(np.bitwise_count(prints), kind="stable")
     side, prints = side[order], prints[order]
@@ -148,9 +175,6 @@ def cell_links(side: np.ndarray, prints: np.ndarray, radius: int, sketches: np.n
         a, b = left[i], right[j]
         apart = a < b if low.all() else slice(None)
         a, b = a[apart], b[apart]
-        if sketches is not None and len(a):
-            near = np.bitwise_count(sketches[order[a]] ^ sketches[order[b]]).sum(axis=1, dtype=np.int64) <= limit
-            a, b = a[near], b[near]
         found.append((a, b))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -160,13 +184,20 @@ def cell_links(side: np.ndarray, prints: np.ndarray, radius: int, sketches: np.n
     return order[a], order[b]
 
 
-def _links(radius: int, limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def solve(key: np.ndarray, side: np.ndarray, node: np.ndarray, prints: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+def _by_cell(columns: tuple[str, ...], solve: Callable[..., tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Applies ``solve(side, *columns)`` to the rows of each cell, which stand together; it returns pairs of row numbers."""
+
+    def read(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        if name == "sketch":
+            return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        return batch.column(name).to_numpy()
+
+    def cells(key: np.ndarray, side: np.ndarray, node: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
         bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
         u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a > 1:
-                i, j = cell_links(side[a:b], prints[a:b], radius, sketches[a:b] if limit is not None else None, limit or 0)
+                i, j = solve(side[a:b], *(x[a:b] for x in rest))
                 u.append(node[a:b][i])
                 v.append(node[a:b][j])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
@@ -176,40 +207,47 @@ def _links(radius: int, limit: int | None) -> Callable[[Iterator[pa.RecordBatch]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "side", "node", "fp")}
-            sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1) if limit is not None else np.empty((batch.num_rows, 0), np.uint64)
-            now = (np.column_stack([column["key"], column["i"], column["j"]]), column["side"], column["node"], column["fp"].view(np.uint64), sketches)
+            key = np.column_stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            now = (key, *(read(batch, c) for c in ("side", "node", *columns)))
             if rest is not None:
                 now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
             last = int(np.flatnonzero((now[0] != now[0][-1]).any(axis=1))[-1]) + 1 if (now[0][0] != now[0][-1]).any() else 0
             if last:
-                yield solve(*(x[:last] for x in now))
+                yield cells(*(x[:last] for x in now))
             rest = tuple(x[last:] for x in now)
         if rest is not None:
-            yield solve(*rest)
+            yield cells(*rest)
 
     return run
 
 
-def links(nodes: DataFrame, radius: int = 3, slice_rows: int = 2048, limit: int | None = None) -> DataFrame:
-    """Spanning links ``(u, v)`` between the rows of ``nodes(node, fp[, sketch])`` within ``radius`` bits.
+def _repeated(banded: DataFrame, slice_rows: int) -> DataFrame:
+    """Rows ``(key, node)`` whose key repeats, with the number of slices of their key."""
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
+    return banded.join(sizes, "key")
+
+
+def _cells(sized: DataFrame, *carried: str) -> DataFrame:
+    """The rows of ``sized(key, node, slices)`` once for each cell of their slice, cells standing together."""
+    sliced = sized.withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int"))
+    cells = sliced.select("key", "node", *carried, "side", F.explode(F.expr("sequence(0, slices - 1)")).alias("other")).select(
+        "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", *carried
+    )
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def links(nodes: DataFrame, radius: int = 3, slice_rows: int = 2048) -> DataFrame:
+    """Spanning links ``(u, v)`` between the rows of ``nodes(node, fp)`` within ``radius`` bits.
 
-    Every component of the full link graph is connected by the returned links. With ``limit`` a link also needs the
-    sketches to differ in no more bits than that.
+    Every component of the full link graph is connected by the returned links.
     """
     bands = radius + 1
     width = 64 // bands
     # The last band takes the bits that are left, so only the others need a mask.
     values = [F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1 if i < bands - 1 else -1)) for i in range(bands)]
-    carried = ["node", "fp", *(["sketch"] if limit is not None else [])]
-    banded = nodes.select(*carried, F.posexplode(F.array(*values)).alias("band", "value")).select(*carried, F.xxhash64("band", "value").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
-    sliced = banded.join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int"))
-    cells = sliced.select("key", *carried, "side", F.explode(F.expr("sequence(0, slices - 1)")).alias("other")).select(
-        "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", *carried
-    )
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_links(radius, limit), "u long, v long")
+    banded = nodes.select("node", "fp", F.posexplode(F.array(*values)).alias("band", "value")).select("node", "fp", F.xxhash64("band", "value").alias("key"))
+    solve = lambda side, prints: cell_links(side, prints.view(np.uint64), radius)
+    return _cells(_repeated(banded, slice_rows), "fp").mapInArrow(_by_cell(("fp",), solve), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -223,23 +261,108 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = 3, radius:
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, shingle: int = 5, radius: int = 11) -> DataFrame:
-    """One row per input row: ``doc_id, component_id``, the smallest id of the texts that reach it by similarity.
+def cell_pairs(side: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, groups: np.ndarray, similarity: float, spread: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of a cell to compare: of different groups, of sizes and sketches that allow the similarity.
 
-    ``radius`` bounds the candidates: the fingerprints of texts whose five-word sets have a similarity of 0.8 differ in
-    eight bits on average. Texts without words are one group.
+    With ``spread`` these are at most two for each row: its nearest row, and the row with the most near rows.
     """
+    low = side == side.min()
+    left = np.flatnonzero(low)
+    right = left if low.all() else np.flatnonzero(~low)
+    limit, near = sketch_limit(similarity, 4), sketch_limit(similarity)
+    degrees, found = np.zeros(len(side), np.int64), []
+    rows = max(1, _TILE * _TILE // len(right))
+    for at in range(0, len(left), rows):
+        tile = left[at : at + rows]
+        distance = np.zeros((len(tile), len(right)), np.int64)
+        for word in range(sketches.shape[1]):
+            distance += np.bitwise_count(sketches[tile, word][:, None] ^ sketches[right, word][None, :])
+        small, large = np.minimum(sizes[tile][:, None], sizes[right][None, :]), np.maximum(sizes[tile][:, None], sizes[right][None, :])
+        allowed = (distance <= limit) & (small >= similarity * large - 1e-6) & (groups[tile][:, None] != groups[right][None, :])
+        if not spread:
+            i, j = np.nonzero(allowed)
+            apart = tile[i] < right[j] if low.all() else slice(None)
+            found.append((tile[i][apart], right[j][apart]))
+            continue
+        distance[~allowed] = SKETCH + 1
+        close = distance <= near
+        degrees[tile] += close.sum(axis=1)
+        if not low.all():
+            degrees[right] += close.sum(axis=0)
+        nearest = distance.argmin(axis=1)
+        some = distance[np.arange(len(tile)), nearest] <= limit
+        found.append((tile[some], right[nearest[some]]))
+    if spread and degrees.any():
+        hub = int(degrees.argmax())
+        others = right if low[hub] else left
+        distance = np.bitwise_count(sketches[others] ^ sketches[hub]).sum(axis=1, dtype=np.int64)
+        others = others[(distance <= near) & (groups[others] != groups[hub])]
+        found.append((np.full(len(others), hub), others))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a, b
+
+
+def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(u, v)`` whose sets of ``sets(node, grams)`` have that Jaccard similarity at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), pa.array([sketch(x, shingle) for x in texts], pa.binary())], ["doc_id", "fp", "sketch"])
-
-    prints = pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long, sketch binary")
-    prints = scratch.write(prints.withColumn("node", F.xxhash64("fp", "sketch")), "prints")
-    nodes = scratch.write(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("node", "fp", "sketch"), radius, slice_rows=8192, limit=sketch_limit(similarity)), scratch)
+            keep = []
+            for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
+                a, b = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
+                merged = np.concatenate([a, b])
+                merged.sort(kind="stable")
+                both = int((merged[1:] == merged[:-1]).sum())
+                keep.append(both >= similarity * (len(merged) - both) - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (sets.select(F.col("node").alias(n), F.col("grams").alias(g)) for n, g in (("u", "one"), ("v", "two")))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(run, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, shingle: int = 5, slice_rows: int = 2048) -> DataFrame:
+    """One row per input row: ``doc_id, component_id``, the smallest id of the texts that reach it by similarity.
+
+    Texts without words are one group.
+    """
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [grams(x, shingle) for x in batch.column("text").to_pylist()]
+            nodes = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
+            found = {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "node": pa.array(nodes), "size": pa.array([len(x) for x in sets], pa.int64())}
+            found |= {"sketch": pa.array(map(_sketch, sets), pa.binary()), "bands": pa.array([min_hashes(x).view(np.int64) for x in sets], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([grams(x, shingle).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], ["node", "grams"])
+
+    keyed = pick(docs, "doc_id", "text").withColumn("key", F.expr("xxhash64(text)"))
+    prints = scratch.write(keyed.mapInArrow(prepare, "doc_id long, key long, node long, size long, sketch binary, bands array<long>"), "prints")
+    firsts = [F.first(c).alias(c) for c in ("key", "size", "sketch", "bands")]
+    nodes = scratch.write(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *firsts), "nodes")
+
+    met = scratch.write(_repeated(nodes.select("node", F.explode("bands").alias("key")), slice_rows), "met")
+    wanted = scratch.write(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "key", "size", "sketch"), "wanted")
+    texts = keyed.select("key", "text").join(wanted.select("key", "node"), "key").dropDuplicates(["node"])
+    sets = scratch.write(texts.mapInArrow(spell, "node long, grams binary"), "sets")
+
+    def compared(groups: DataFrame, spread: bool, name: str) -> DataFrame:
+        """Links among the pairs of cells that hold several groups of ``groups(node, group)``."""
+        rows = met.join(groups, "node")
+        mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+        rows = rows.join(mixed, "key", "left_semi").join(wanted.select("node", "size", "sketch"), "node")
+        solve = lambda side, sketches, sizes, group: cell_pairs(side, sketches, sizes, group, similarity, spread)
+        pairs = _cells(rows, "sketch", "size", "group").mapInArrow(_by_cell(("sketch", "size", "group"), solve), "u long, v long")
+        pairs = scratch.write(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"pairs-{name}")
+        return scratch.write(similar_links(pairs, sets, similarity), f"links-{name}")
+
+    sure = compared(wanted.select("node", F.col("node").alias("group")), True, "sure")
+    joined = components(sure, scratch, "first")
+    rest = compared(wanted.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("group")), False, "rest")
+    roots = components(sure.union(rest), scratch)
+    scratch.drop("met", "wanted", "sets", "pairs-sure", "pairs-rest")
     placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(named, "root").select("node", "component_id")

@@ -162,6 +162,28 @@ def test_sketch_follows_similarity():
     assert simhash.sketch(None) == simhash.sketch(" ") == bytes(64)
 
 
+def test_similar_pairs_equal_brute_force(make_docs, scratch):
+    rng = random.Random(33)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 500))]
+        for share in (0.0, 0.02, 0.025, 0.03):
+            other = list(base)
+            for at in rng.sample(range(len(base)), round(share * len(base))):
+                other[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(other))
+    common = [f"c{i}" for i in range(200)]
+    for i in range(40):
+        texts.append(" ".join([*common[: 150 + i], *(f"y{i}z{j}" for j in range(12))]))
+    rows = list(enumerate(texts))
+    scores = {(a, b): jaccard(texts[a], texts[b]) for a in range(len(rows)) for b in range(a) if a // 4 == b // 4 or b >= 240}
+    assert sum(0.75 <= x < 0.8 for x in scores.values()) > 20 < sum(0.8 <= x <= 0.85 for x in scores.values())
+    expected = linked([p for p, x in scores.items() if x >= 0.8], range(len(rows)))
+    for slice_rows in (2048, 10):
+        found = {r.doc_id: r.component_id for r in simhash.similar_groups(make_docs(rows), scratch, slice_rows=slice_rows).collect()}
+        assert found == {n: group[0] for group in expected for n in group}
+
+
 def test_components_of_random_graphs(spark, scratch):
     rng = random.Random(12)
     pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(500, i) for i in range(300, 400)] + [(7, 7)]
