@@ -16,9 +16,9 @@ Minimizers, path contents and edges are compared by 128 bits of hash in all (64
 64-bit edge hashes), so distinct spans do not meet at any corpus size in reach.
 
 Edge cases
-    Null text has no words; texts shorter than a window lose nothing. Null ``doc_id`` orders before all others and counts
-    as one id. Rows that repeat an id and text are copies of one document and get equal results; ids are otherwise
-    expected to be unique. Empty tables give empty results; extra columns are ignored.
+    Null text has no words; texts shorter than a window lose nothing. Null ``doc_id`` orders before all others; rows
+    without id are documents of their own, in the order in which they are read. Rows that repeat an id and text are copies
+    of one document and get equal results; rows that repeat an id alone are ordered by a hash of the text. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonja.llm.store import Scratch
-from lonja.llm.tables import pick
+from lonja.llm.tables import NO_ID, numbered
 
-#: Stands for a null document id.
-_NO_ID = -(1 << 63)
 #: Odd multipliers of the two rolling hashes (fractional digits of the square roots of 2 and 3).
 _M1, _M2 = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
@@ -87,16 +85,16 @@ def paths_of(rolling: Rolling, n_words: int, window: int, seed: int) -> tuple[np
 
 
 def _paths(window: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["minimizer", "content", "doc_id", "start", "n"]
+    names = ["minimizer", "content", "doc_id", "_row", "start", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_row", "text")), strict=True):
                 words = words_of(text)
                 if len(words) >= window:
                     m, c, s, n = paths_of(Rolling(words), len(words), window, seed)
-                    parts.append((m.view(np.int64), c.view(np.int64), np.full(len(m), doc, np.int64), s.astype(np.int32), n.astype(np.int32)))
+                    parts.append((m.view(np.int64), c.view(np.int64), np.full(len(m), doc, np.int64), np.full(len(m), row, np.int64), s.astype(np.int32), n.astype(np.int32)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names)
 
@@ -104,16 +102,16 @@ def _paths(window: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def _edges(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["k1", "k2", "doc_id", "start"]
+    names = ["k1", "k2", "doc_id", "_row", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for doc, text, paths in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "paths")), strict=True):
+            for doc, row, text, paths in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_row", "text", "paths")), strict=True):
                 rolling = Rolling(words_of(text))
                 starts = np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in paths])
                 keys = [rolling.span(starts, starts + window, i).view(np.int64) for i in (0, 1)]
-                parts.append((*keys, np.full(len(starts), doc, np.int64), starts.astype(np.int32)))
+                parts.append((*keys, np.full(len(starts), doc, np.int64), np.full(len(starts), row, np.int64), starts.astype(np.int32)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names)
 
@@ -121,32 +119,31 @@ def _edges(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 20, seed: int = 8) -> DataFrame:
-    """``(doc_id, start, n)``: ``n`` windows from word ``start`` on whose word sequences also start earlier in the corpus.
+    """``(doc_id, _row, start, n)`` of ``numbered`` documents: ``n`` windows from word ``start`` on whose word sequences also start earlier in the corpus.
 
-    Earlier means a smaller ``doc_id``, or the same document and an earlier start.
+    Earlier means a smaller ``doc_id``, then a smaller ``_row``, or the same document and an earlier start.
     """
-    docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    paths = docs.mapInArrow(_paths(window, seed), "minimizer long, content long, doc_id long, start int, n int")
+    paths = docs.mapInArrow(_paths(window, seed), "minimizer long, content long, doc_id long, _row long, start int, n int")
     # Written first: a join whose sides are plain exchanges can be split where a minimizer is hot.
     again = scratch.write(paths.groupBy("minimizer").agg(F.count("*").alias("times")).where("times > 1").select("minimizer"), "again")
     found = scratch.write(paths.join(again, "minimizer"), "paths")
 
-    firsts = found.groupBy("minimizer", "content").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.first("n").alias("n"))
+    firsts = found.groupBy("minimizer", "content").agg(F.min(F.struct("doc_id", "_row", "start")).alias("source"), F.first("n").alias("n"))
     firsts = scratch.write(firsts, "nodes")
     branching = firsts.groupBy("minimizer").agg(F.count("*").alias("ways")).where("ways > 1").select("minimizer")
-    opened = firsts.join(branching, "minimizer", "left_semi").select("source.doc_id", "source.start", "n")
-    per_doc = opened.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
-    edges = docs.join(per_doc, "doc_id").mapInArrow(_edges(window), "k1 long, k2 long, doc_id long, start int")
+    opened = firsts.join(branching, "minimizer", "left_semi").select("source.doc_id", "source._row", "source.start", "n")
+    per_doc = opened.groupBy("doc_id", "_row").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
+    edges = docs.join(per_doc, ["doc_id", "_row"]).mapInArrow(_edges(window), "k1 long, k2 long, doc_id long, _row long, start int")
     edges = scratch.write(edges, "edges")
-    sources = edges.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count("*").alias("times"))
+    sources = edges.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "_row", "start")).alias("source"), F.count("*").alias("times"))
     sources = scratch.write(sources.where("times > 1").select("k1", "k2", "source"), "sources")
-    later = edges.join(sources, ["k1", "k2"]).where("doc_id <> source.doc_id or start <> source.start")
+    later = edges.join(sources, ["k1", "k2"]).where("doc_id <> source.doc_id or _row <> source._row or start <> source.start")
 
-    copies = found.join(firsts.select("minimizer", "content", "source"), ["minimizer", "content"]).where("doc_id <> source.doc_id or start <> source.start")
-    spans = copies.select("doc_id", "start", "n").union(later.select("doc_id", "start", F.lit(1).alias("n")))
+    copies = found.join(firsts.select("minimizer", "content", "source"), ["minimizer", "content"]).where("doc_id <> source.doc_id or _row <> source._row or start <> source.start")
+    spans = copies.select("doc_id", "_row", "start", "n").union(later.select("doc_id", "_row", "start", F.lit(1).alias("n")))
     spans = scratch.write(spans, "spans")
     scratch.drop("again", "paths", "nodes", "edges", "sources")
-    return spans.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
+    return spans
 
 
 def kept_words(text: str | None, spans: list[dict] | None, window: int) -> tuple[int, list[bytes]]:
@@ -165,8 +162,9 @@ def kept_words(text: str | None, spans: list[dict] | None, window: int) -> tuple
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 20, seed: int = 8) -> DataFrame:
     """Per document ``doc_id, n_words, n_removed, kept_text``; kept words are joined by one space."""
+    docs = numbered(docs, scratch)
     spans = repeated_spans(docs, scratch, window, seed)
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    per_doc = spans.groupBy("doc_id", "_row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,8 +174,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 20, seed: in
             kept = pa.array([b" ".join(kept).decode("utf-8", "surrogatepass") for _, kept in rows], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), total, gone, kept], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    left = pick(docs, "doc_id", "text").alias("d")
-    joined = left.join(per_doc.alias("s"), F.expr("d.doc_id <=> s.doc_id"), "left").select("d.doc_id", "d.text", "s.spans")
+    joined = docs.join(per_doc, ["doc_id", "_row"], "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 

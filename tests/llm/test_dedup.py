@@ -47,6 +47,17 @@ def test_substrings_of_repeated_rows_and_empty_table(make_docs, scratch, corpus)
     assert substring_dedup.remove_repeats(make_docs([]), scratch).count() == 0
 
 
+def test_substrings_of_rows_that_share_an_id(make_docs, scratch):
+    passage = " ".join(f"p{i}" for i in range(20))
+    for shared in (None, 7):
+        rows = [(shared, passage), (shared, passage + " and the end"), (shared, " ".join(f"q{i}" for i in range(60)) + " " + passage), (8, passage + " last")]
+        found = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(make_docs(rows), scratch).collect()]
+        assert sorted(n for _, n, _ in found) == [20, 21, 23, 80] and (8, 21, 20) in found
+        assert sorted(gone for doc, _, gone in found if doc == shared) == [0, 20, 20]
+    found = [(r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(make_docs([(None, passage), (None, passage), (1, "few words")]), scratch).collect()]
+    assert sorted(found) == [(2, 0), (20, 0), (20, 20)]
+
+
 def test_span_hashes_depend_on_content_alone():
     words = b"a b c d a b c d e".split()
     rolling = substring_dedup.Rolling(words)
