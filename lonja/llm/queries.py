@@ -17,7 +17,7 @@ from lonja.llm.sharding import place
 from lonja.llm.simhash import near_duplicates
 from lonja.llm.store import Scratch
 from lonja.llm.substring_dedup import digest, remove_repeats
-from lonja.llm.tables import table
+from lonja.llm.tables import numbered, table
 from lonja.llm.token_counts import section_tokens
 from lonja.llm.token_files import token_digest, write_token_files
 
@@ -54,8 +54,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    report = line_report(docs, removed_lines(docs, Scratch(spark, "lines"), least_chars=10))
+    scratch = Scratch(spark, "lines")
+    docs = numbered(table(spark, sf_dir, "documents"), scratch)
+    report = line_report(docs, removed_lines(docs, scratch, least_chars=10))
     return report.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 

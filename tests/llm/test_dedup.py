@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lonja.llm import components, line_dedup, simhash, substring_dedup
+from lonja.llm import components, line_dedup, simhash, substring_dedup, tables
 
 
 # Repeated substrings
@@ -267,3 +267,15 @@ def test_lines_of_empty_table_and_repeated_rows(make_docs, scratch):
     assert line_dedup.line_report(empty, line_dedup.removed_lines(empty, scratch)).count() == 0
     docs = make_docs([(1, "the same long line"), (1, "the same long line")])
     assert line_dedup.removed_lines(docs, scratch).count() == 0
+
+
+def test_lines_of_rows_that_share_an_id(make_docs, scratch):
+    line, near = "a line that is repeated", "a line that is repeatee"
+    for shared in (None, 7):
+        docs = tables.numbered(make_docs([(shared, line), (shared, near), (shared, "another line altogether\n" + line), (8, near + "\nunique words of its own")]), scratch)
+        found = line_dedup.line_report(docs, line_dedup.removed_lines(docs, scratch)).collect()
+        assert sorted((r.n_lines, r.n_removed) for r in found if r.doc_id == shared) in ([(1, 0), (1, 1), (2, 1)], [(1, 1), (1, 1), (2, 0)])
+        assert [list(r.removed) for r in found if r.doc_id == 8] == [[0]] and len(found) == 4
+    docs = tables.numbered(make_docs([(None, line), (None, line)]), scratch)
+    found = line_dedup.line_report(docs, line_dedup.removed_lines(docs, scratch)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in found) == [(None, 0), (None, 1)]
