@@ -1,170 +1,139 @@
-"""Byte-level BPE over whole texts, reusing the result for pieces seen before.
+"""Byte-level BPE over whole texts, each distinct piece of a group of texts being encoded once.
 
 The pre-tokenizer always starts a new token at a space that follows a non-space character, and nothing is merged across
 such a boundary. A text whose spaces all stand between non-space characters is therefore the concatenation of its
-pieces (a word with the space before it), and so are its ids. Other texts are encoded in one call. The ids of a piece
-come from the tokenizers library, the vocabulary file being a parameter.
+pieces (a word with the space before it), and so are its ids. The texts of a group are cut at their spaces, equal pieces
+are found by a dictionary, and the distinct pieces, set one after another with a space before each, are encoded as long
+texts. Every token stands for a known number of bytes, so the running sum of those tells which tokens belong to which
+piece. Texts with other white space beside a space or at an end are encoded in one call each. All ids come from the
+tokenizers library, the vocabulary file being a parameter. Nothing is kept from one group of texts to the next.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
-from collections.abc import Callable
+import os
+from collections.abc import Iterator
 
 import numpy as np
-
-#: Pieces in each of the two generations of a Python worker's cache; about 200 bytes each.
-CACHE_ENTRIES = 600_000
-
-#: White space of any kind, and what of it ASCII holds: beside a space, the boundary rule does not cover the text.
-_SPACES = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
-_BESIDE = {ascii_only: [pair for c in _SPACES if c.isascii() or not ascii_only for pair in (c + " ", " " + c)] for ascii_only in (True, False)}
-#: Latin letters, then common punctuation: exactly one or two pre-tokens, with or without a space before the letters.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]*)")
-
-
-def is_irregular(text: str) -> bool:
-    """A space beside other white space or at an end. Substring searches beat one pattern many times over."""
-    return text[:1] == " " or text[-1:] == " " or any(pair in text for pair in _BESIDE[text.isascii()])
-
-
-def byte_symbols() -> dict[int, str]:
-    """The printable character that a byte-level vocabulary writes for each byte: itself if visible, else from U+0100 on."""
-    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = [b for b in range(256) if b not in visible]
-    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
-
-
-class PieceEncoder:
-    """Encodes texts (``encode``) with a bounded cache of pieces.
-
-    The result is bytes of little-endian 32-bit integers: the ids, or with ``spans`` the begin and end of each token in
-    characters, from the start of the piece while cached.
-    """
-
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of texts in a group: larger groups repeat more pieces and take more memory, about ten times their size.
+GROUP_BYTES = 16 << 20
+#: Distinct pieces that are encoded as one text, and texts whose ids are put together at once.
+_JOINED, _TEXTS = 8192, 512
+#: White space of any kind.
+_SPACE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Pieces that the boundary rule does not cover: empty ones, and those with white space at an end.
+_IRREGULAR = rf"\A\z|\A{_SPACE}|{_SPACE}\z"
+
+
+def groups(texts: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Begins and ends of runs of texts that hold about ``size`` bytes; a longer text is a run of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin, before = 0, 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(upto, before + size, "right")))
+        yield begin, end
+        begin, before = end, int(upto[end - 1])
+
+
+class Encoder:
+    """Token ids and character spans of groups of texts."""
+
+    def __init__(self, path: str):
+        # One text is encoded at a time; threads of the library would only take cores from other tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
-        self.symbols = {b: ord(symbol) for b, symbol in byte_symbols().items()}
-        self.space, self.line_break = chr(self.symbols[32]), chr(self.symbols[10])
-        self.spaced, self.bare = _Pieces(self, " ", entries), _Pieces(self, "", entries // 8)
-
-    @staticmethod
-    def pack(values: list[int]) -> bytes:
-        return array("I", values).tobytes()
-
-    def whole(self, text: str) -> bytes:
-        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def pretoken(self, text: str) -> bytes:
-        """Ids of what the pre-tokenizer keeps together."""
-        return self.pack([token.id for token in self.tokenize(self.symbolic(text))])
-
-    def symbolic(self, text: str) -> str:
-        """The text's bytes as the vocabulary writes them; of ASCII pre-tokens only white space is written otherwise."""
-        if text.isascii():
-            return text.replace(" ", self.space).replace("\n", self.line_break)
-        return text.encode().decode("latin-1").translate(self.symbols)
-
-    def joined(self, left: bytes, width: int, right: bytes) -> bytes:
-        """The result for a text of ``width`` characters with another text after it."""
-        return left + right
-
-    def encode(self, text: str) -> bytes:
-        if is_irregular(text):
-            return self.whole(text)
-        first, space, rest = text.partition(" ")
-        if not space:
-            return self.whole(text)
-        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest.split(" ")))
-
-
-class SpanFinder(PieceEncoder):
-    """Character spans of the tokens of a text (``spans``), by the same decomposition."""
-
-    def whole(self, text: str) -> bytes:
-        return self.pack([x for span in self.tokenizer.encode(text, add_special_tokens=False).offsets for x in span])
-
-    def pretoken(self, text: str) -> bytes:
-        data = text.encode()
-        # Character that each byte belongs to.
-        owner = range(len(data)) if len(data) == len(text) else [i for i, c in enumerate(text) for _ in c.encode()]
-        values, at = [], 0
-        for token in self.tokenize(self.symbolic(text)):
-            values += (owner[at], owner[at + len(token.value) - 1] + 1)
-            at += len(token.value)
-        return self.pack(values)
-
-    def joined(self, left: bytes, width: int, right: bytes) -> bytes:
-        return left + (np.frombuffer(right, "<u4") + np.uint32(width)).tobytes()
-
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Begins and ends in characters."""
-        if not text:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        first, space, rest = text.partition(" ")
-        if not space or is_irregular(text):
-            found = np.frombuffer(self.whole(text), "<u4").reshape(-1, 2).astype(np.int64)
-            return found[:, 0], found[:, 1]
-        pieces = rest.split(" ")
-        coded = [self.bare[first], *map(self.spaced.__getitem__, pieces)]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 8
-        widths = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
-        bases = np.concatenate([[0], len(first) + np.cumsum(widths) - widths])
-        found = np.frombuffer(b"".join(coded), "<u4").reshape(-1, 2) + np.repeat(bases, sizes)[:, None]
-        return found[:, 0], found[:, 1]
-
-
-class _Pieces(dict):
-    """Results for ``before + key`` in two generations: when the young one is full it becomes the old one, whose entries
-    return to the young one as they are used again."""
-
-    def __init__(self, encoder: PieceEncoder, before: str, entries: int):
-        super().__init__()
-        self.encoder, self.before, self.entries = encoder, before, entries
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.old.pop(key, None)
-        if found is None:
-            join, lines = self.encoder.joined, key.split("\n") if "\n" in key else ()
-            if lines and all(map(_PLAIN.fullmatch, lines)):
-                # A line break between other characters is a pre-token; what follows has no space before it.
-                found, width, line_break = self[lines[0]], len(self.before) + len(lines[0]), self.encoder.pretoken("\n")
-                for line in lines[1:]:
-                    found = join(join(found, width, line_break), width + 1, self.encoder.bare[line])
-                    width += 1 + len(line)
-                return found
-            plain = _PLAIN.fullmatch(key)
-            if plain is None:
-                found = self.encoder.whole(self.before + key)
-            elif plain[2]:
-                found = join(self[plain[1]], len(self.before) + len(plain[1]), self.encoder.pretoken(plain[2]))
-            else:
-                found = self.encoder.pretoken(self.before + key)
-        if len(self) >= self.entries:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-
-_kept: dict[tuple[type, str], PieceEncoder] = {}
-
-
-def _of(kind: type, path: str) -> PieceEncoder:
-    """The worker's own, kept between tasks."""
-    if (kind, path) not in _kept:
-        _kept[kind, path] = kind(path)
-    return _kept[kind, path]
-
-
-def encoder(path: str) -> PieceEncoder:
-    return _of(PieceEncoder, path)
-
-
-def spans(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
-    return _of(SpanFinder, path).spans
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        added = {i: token.content for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+        #: Bytes that each id stands for; a byte-level vocabulary writes each byte as one character.
+        self.widths = np.zeros(max([*vocabulary.values(), *added]) + 1, np.int32)
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token)
+        for i, content in added.items():
+            self.widths[i] = len(content.encode())
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of one text, encoded in one call."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32) if text else np.empty(0, np.uint32)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct regular pieces with a space before each, and the number of ids of each."""
+        ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for at in range(0, len(pieces), _JOINED):
+            some = pieces.slice(at, _JOINED)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py()
+            found = self.whole(" " + joined)
+            upto = np.cumsum(self.widths[found], dtype=np.int64)
+            wanted = np.cumsum(pc.binary_length(some).to_numpy(zero_copy_only=False) + 1, dtype=np.int64)
+            last = np.minimum(np.searchsorted(upto, wanted), len(upto) - 1)
+            if not np.array_equal(upto[last], wanted):
+                raise ValueError("a piece does not end where a token ends: the vocabulary is not byte-level, or merges across spaces")
+            ids.append(found)
+            counts.append(np.diff(np.concatenate([[-1], last])))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For runs of texts, in order: begin and end of the run, number of ids of each text, and all their ids.
+
+        A null text has no ids.
+        """
+        for begin, end in groups(texts):
+            for low, counts, ids in self._group(pc.fill_null(texts.slice(begin, end - begin), "")):
+                yield begin + low, begin + low + len(counts), counts, ids
+
+    def _group(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        split = pc.split_pattern(texts, " ")
+        coded = split.values.dictionary_encode()
+        entry, pieces = coded.indices.to_numpy().copy(), coded.dictionary
+        at = split.offsets.to_numpy().astype(np.int64)
+        del split, coded
+        bad = pc.match_substring_regex(pieces, _IRREGULAR).to_numpy(zero_copy_only=False)
+        # A first piece has no space before it, so its entry is one of its own; it may be a whole text.
+        firsts = pieces.take(pa.array(entry[at[:-1]])).dictionary_encode()
+        irregular = np.logical_or.reduceat(bad[entry], at[:-1])
+        ids, counts = self._pieces(pieces.filter(pa.array(~bad)))
+        every = np.zeros(len(pieces), np.int64)
+        every[~bad] = counts
+        plain = [self.whole(x) for x in firsts.dictionary.to_pylist()]
+        odd = [self.whole(texts[int(i)].as_py()) for i in np.flatnonzero(irregular)]
+        table = np.concatenate([ids, *plain, *odd])
+        counts = np.concatenate([every, [len(x) for x in (*plain, *odd)], [0]]).astype(np.int64)
+        starts = np.cumsum(counts) - counts
+        entry[at[:-1]] = firsts.indices.to_numpy() + len(every)
+        for number, i in enumerate(np.flatnonzero(irregular)):
+            entry[at[i] : at[i + 1]] = len(counts) - 1
+            entry[at[i]] = len(every) + len(plain) + number
+        for low in range(0, len(texts), _TEXTS):
+            bounds = at[low : low + _TEXTS + 1]
+            own = entry[bounds[0] : bounds[-1]]
+            sizes = counts[own]
+            upto = np.cumsum(sizes)
+            found = table[np.repeat(starts[own] - upto + sizes, sizes) + np.arange(upto[-1])]
+            yield low, np.add.reduceat(sizes, bounds[:-1] - bounds[0]), found
+
+    def spans(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the begins and ends, in characters, of its tokens; a part of a character has its whole span."""
+        for low, high, counts, ids in self.encode(texts):
+            upto = np.cumsum(counts)
+            for i, own in enumerate(np.split(ids, upto[:-1])):
+                ends = np.cumsum(self.widths[own], dtype=np.int64)
+                begins = ends - self.widths[own]
+                data = texts[low + i].as_buffer() if len(own) else b""
+                if len(own):
+                    character = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, dtype=np.int64) - 1
+                    begins, ends = character[begins], character[ends - 1] + 1
+                yield begins, ends
+
+
+_kept: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's own; loading the vocabulary costs more than a small task, and it holds no texts."""
+    if path not in _kept:
+        _kept[path] = Encoder(path)
+    return _kept[path]

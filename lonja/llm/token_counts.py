@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lonja.llm.bpe import spans
+from lonja.llm.bpe import encoder
 from lonja.llm.tables import pick
 
 RULES = ("largest", "first", "last")
@@ -71,22 +71,21 @@ def _count(path: str, rule: str, split: Callable[[str | None], tuple[np.ndarray,
     names = ["doc_id", "section", "begin", "end", "n_tokens", "n_crossing", "doc_tokens", "unassigned"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = spans(path)
+        find = encoder(path).spans
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                piece = batch.slice(at, _SLICE)
-                rows: list[list[np.ndarray]] = [[] for _ in names[1:]]
-                sizes = []
-                for text in piece.column("text").to_pylist():
-                    begin, end = split(text)
-                    token_begin, token_end = find(text or "")
-                    counts, crossing, gap = allocate(token_begin, token_end, begin, end, rule)
-                    n = len(begin)
-                    sizes.append(n)
-                    for held, x in zip(rows, (np.arange(n), begin, end, counts, crossing, np.full(n, len(token_begin)), np.full(n, gap)), strict=True):
-                        held.append(x)
-                docs = piece.column("doc_id").take(pa.array(np.repeat(np.arange(piece.num_rows), sizes)))
-                yield pa.RecordBatch.from_arrays([docs, *(pa.array(np.concatenate(x), pa.int64()) for x in rows)], names)
+            rows: list[list[np.ndarray]] = [[] for _ in names[1:]]
+            sizes, first = [], 0
+            for number, (text, tokens) in enumerate(zip(batch.column("text"), find(batch.column("text")), strict=True), 1):
+                begin, end = split(text.as_py())
+                counts, crossing, gap = allocate(*tokens, begin, end, rule)
+                n = len(begin)
+                sizes.append(n)
+                for held, x in zip(rows, (np.arange(n), begin, end, counts, crossing, np.full(n, len(tokens[0])), np.full(n, gap)), strict=True):
+                    held.append(x)
+                if number % _SLICE == 0 or number == batch.num_rows:
+                    docs = batch.column("doc_id").slice(first, number - first).take(pa.array(np.repeat(np.arange(number - first), sizes)))
+                    yield pa.RecordBatch.from_arrays([docs, *(pa.array(np.concatenate(x), pa.int64()) for x in rows)], names)
+                    rows, sizes, first = [[] for _ in names[1:]], [], number
 
     return run
 
@@ -112,14 +111,14 @@ def field_tokens(table: DataFrame, key: str, fields: list[str], tokenizer_path:
     source = table.select(F.col(f"`{key}`").cast("string").alias("key"), joined.alias("text"), F.array(*sizes).alias("sizes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = spans(tokenizer_path)
+        find = encoder(tokenizer_path).spans
         for batch in batches:
             keys, names, counts, crossings = [], [], [], []
-            for own, text, widths in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "sizes")), strict=True):
+            for own, widths, tokens in zip(batch.column("key").to_pylist(), batch.column("sizes").to_pylist(), find(batch.column("text")), strict=True):
                 end = np.cumsum(np.array(widths) + 1)
                 begin = end - np.array(widths) - 1
                 end[-1] -= 1
-                found, crossing, _ = allocate(*find(text), begin, end, rule)
+                found, crossing, _ = allocate(*tokens, begin, end, rule)
                 keys += [own] * len(fields)
                 names += fields
                 counts.append(found)

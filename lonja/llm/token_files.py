@@ -45,25 +45,22 @@ WRITER = {
     "parquet.enable.dictionary#n_tokens": "false",
     "compression": "zstd",
 }
-#: Texts encoded between two output batches.
-_SLICE = 512
 
 
 def _encode(path: str, end_id: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start = encoder(path).encode, 0
+        find, start = encoder(path), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                piece = batch.slice(at, _SLICE)
-                coded = [(encode(text) if text else b"") + end for text in piece.column("text").to_pylist()]
-                lengths = np.fromiter((len(x) // 4 for x in coded), np.int64, len(coded))
+            for low, high, lengths, ids in find.encode(batch.column("text")):
+                if end_id is not None:
+                    ids = np.insert(ids, np.cumsum(lengths), np.uint32(end_id))
+                    lengths = lengths + 1
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                piece = batch.slice(low, high - low)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
                 starts = pa.array(start + offsets[:-1])
                 start += int(offsets[-1])
-                yield pa.RecordBatch.from_arrays([piece.column("part"), piece.column("doc_id"), starts, pa.array(lengths), ids], ["part", "doc_id", "local_start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([piece.column("part"), piece.column("doc_id"), starts, pa.array(lengths), lists], ["part", "doc_id", "local_start", "n_tokens", "ids"])
 
     return run
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -25,18 +26,25 @@ def texts():
 
 
 def test_encoder_equals_whole_text_encoding(tokenizer):
-    coder = bpe.PieceEncoder(PATH, entries=50)
-    for text in texts():
-        assert coder.encode(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    found = [(ids, n) for _, _, n, ids in bpe.Encoder(PATH).encode(pa.array(texts()))]
+    split = [own for ids, n in found for own in np.split(ids, np.cumsum(n)[:-1])]
+    for text, own in zip(texts(), split, strict=True):
+        assert own.tobytes() == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
 def test_spans_equal_offsets(tokenizer):
-    finder = bpe.SpanFinder(PATH, entries=50)
-    for text in texts():
-        begin, end = finder.spans(text)
+    for text, (begin, end) in zip(texts(), bpe.Encoder(PATH).spans(pa.array(texts())), strict=True):
         assert list(zip(begin.tolist(), end.tolist(), strict=True)) == tokenizer.encode(text, add_special_tokens=False).offsets, text
 
 
+@pytest.mark.parametrize("size", [1, 40, 1000])
+def test_groups_cover_all_texts(size):
+    some = pa.array(["a b", None, "", "a much longer text, of several words", " x", "b a b", "y"])
+    spans = list(bpe.groups(some, size))
+    assert [i for a, b in spans for i in range(a, b)] == list(range(len(some)))
+    assert not list(bpe.groups(some.slice(0, 0), size))
+
+
 def test_files(spark, tmp_path, make_docs, corpus, tokenizer):
     rows = corpus + [(5, dict(corpus)[5]), (5, dict(corpus)[5]), (None, "no id"), (-3, "first"), (10**12, "last")]
     path = f"file://{tmp_path}/ids"
@@ -88,13 +96,13 @@ def sections_by_hand(tokenizer, text, spans, rule):
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_allocation_equals_brute_force(tokenizer, rule):
     rng = random.Random(2)
-    finder = bpe.SpanFinder(PATH)
+    finder = bpe.Encoder(PATH)
     for _ in range(150):
         text = "".join(rng.choices(["hello", " world", "é", "\n", "abc", "."], k=rng.randint(0, 30)))
         cuts = sorted(rng.choices(range(len(text) + 1), k=rng.randint(0, 8)))
         spans = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if rng.random() < 0.8]
         begin, end = np.array([a for a, _ in spans], np.int64), np.array([b for _, b in spans], np.int64)
-        counts, _, gap = token_counts.allocate(*finder.spans(text), begin, end, rule)
+        counts, _, gap = token_counts.allocate(*next(finder.spans(pa.array([text]))), begin, end, rule)
         assert (counts.tolist(), gap) == sections_by_hand(tokenizer, text, spans, rule)
 
 
