@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from lonja.llm.tables import pick
 
 UNKNOWN = "und"
-#: Code points counted at once, and distinct grams that a training task holds before it hands them on.
-_BLOCK, _HELD = 1 << 20, 2_000_000
+#: Code points counted at once, texts that a training task counts as one, and distinct grams that it holds before it
+#: hands them on.
+_BLOCK, _TEXTS, _HELD = 1 << 17, 512, 500_000
 _BITS = 21
 
 
@@ -46,20 +47,20 @@ def _merge(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted gram codes (up to three 21-bit code points) and how often each occurs."""
-    points = _letters()[np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4")]
-    space = points == 32
-    points = points[~space | np.concatenate([[True], ~space[:-1]])]
-    if len(points) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    grams, counts = [], []
-    for at in range(0, len(points) - 1, _BLOCK):
-        a = points[at : at + _BLOCK]
-        b = points[at + 1 : at + 1 + _BLOCK]
-        c = points[at + 2 : at + 2 + _BLOCK]
-        pairs, triples = (a[: len(b)] << _BITS) | b, ((a[: len(c)] << _BITS | b[: len(c)]) << _BITS) | c
-        found, n = np.unique(np.concatenate([a[a != 32], pairs, triples[b[: len(c)] != 32]]), return_counts=True)
+    lowered = " " + text.lower() + " "
+    grams, counts, before = [], [], np.empty(0, np.int64)
+    for at in range(0, len(lowered), _BLOCK):
+        points = _letters()[np.frombuffer(lowered[at : at + _BLOCK].encode("utf-32-le", "surrogatepass"), "<u4")]
+        space = points == 32
+        points = points[~space | np.concatenate([before[-1:] != 32 if len(before) else [True], ~space[:-1]])]
+        # Pairs and triples that end in this block.
+        two = np.concatenate([before[-1:], points])
+        three = np.concatenate([before, points])
+        pairs, triples = two[:-1] << _BITS | two[1:], (three[:-2] << _BITS | three[1:-1]) << _BITS | three[2:]
+        found, n = np.unique(np.concatenate([points[points != 32], pairs, triples[three[1:-1] != 32]]), return_counts=True)
         grams.append(found)
         counts.append(n)
+        before = three[-2:]
     return (grams[0], counts[0]) if len(grams) == 1 else _merge(grams, counts)
 
 
@@ -82,7 +83,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     size = 0
-    for batch in batches:
+    for batch in (whole.slice(at, _TEXTS) for whole in batches for at in range(0, whole.num_rows, _TEXTS)):
         texts: dict[str, list[str]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             texts.setdefault(lang, []).append(text)
@@ -137,7 +138,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], profile_size: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(profiles, profile_size)
         for batch in batches:
-            found = [model.predict(x) for x in batch.column("text").to_pylist()]
+            found = [model.predict(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -162,7 +163,7 @@ def accept(docs: DataFrame, profiles: dict[str, list[int]], least_score: float,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(profiles, profile_size)
         for batch in batches:
-            found = [model.predict(x) for x in batch.column("text").to_pylist()]
+            found = [model.predict(x.as_py()) for x in batch.column("text")]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_())).select(columns)
 
     return docs.mapInArrow(run, fields)
