@@ -7,13 +7,15 @@ that may hold ``e`` edits has two parts that may hold ``e1 + e2 = e - 1``, so a
 node matches within its own budget. Nodes up to the whole item are verified with Myers' bit-parallel distance; chance
 hits end at the first, short node.
 
-Items are taken in blocks of a bounded number of characters. A block is what is sent to the workers; every block scans
-all documents, so any number of items works. Nothing is shuffled and the documents' skew does not matter.
+Items are taken in blocks of a bounded number of characters. A block is what is sent to the workers. Blocks are worked off
+one after another, each one's result being written before the next is sent, so the memory of driver and workers does not
+grow with the benchmark. Nothing is shuffled and the documents' skew does not matter.
 
 Edge cases
-    Null or empty texts match nothing. Items that normalise to fewer than ``least_chars`` characters prove nothing and are
-    left out. Items with null id are used and reported with it; repeated items are reported each. Extra columns are
-    ignored. Empty tables give empty results.
+    Null or empty texts match nothing. Every item that is not blank takes part unless ``least_chars`` says otherwise; an
+    item too short to have an edit budget must stand as whole words, so that "ion" is not found in "nation". Items with null
+    id are used and reported with it; repeated items are reported each. Each row is judged by its own text, whatever ids it
+    shares or lacks. Extra columns are ignored, and kept by ``keep_clean``. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from lonja.llm.store import Scratch
 from lonja.llm.tables import pick
 
 #: Characters of items in a block, the unit that is sent to workers.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 250_000
 
 
 def normalise(text: str | None) -> str:
@@ -37,18 +40,19 @@ def normalise(text: str | None) -> str:
 
 
 class Node:
-    """A span of an item that may hold ``budget`` edits."""
+    """A span of an item that may hold ``budget`` edits; its bit masks are made when it is first searched for."""
 
-    __slots__ = ("begin", "budget", "end", "masks", "parent")
+    __slots__ = ("begin", "budget", "end", "item", "masks", "parent")
 
     def __init__(self, item: str, begin: int, end: int, budget: int, parent: Node | None):
-        self.begin, self.end, self.budget, self.parent = begin, end, budget, parent
+        self.item, self.begin, self.end, self.budget, self.parent = item, begin, end, budget, parent
         self.masks: dict[str, int] = {}
-        for i in range(begin, end):
-            self.masks[item[i]] = self.masks.get(item[i], 0) | 1 << (i - begin)
 
     def search(self, text: str) -> tuple[int, int]:
         """Least distance to a substring of ``text``, and where that substring ends (Myers 1999)."""
+        if not self.masks:
+            for i, char in enumerate(self.item[self.begin : self.end]):
+                self.masks[char] = self.masks.get(char, 0) | 1 << i
         size, get = self.end - self.begin, self.masks.get
         full, top = (1 << size) - 1, 1 << (size - 1)
         up, down, score, best, where = full, 0, size, size, 0
@@ -100,15 +104,21 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), owners))
         self.automaton.make_automaton()
 
-    def find(self, text: str) -> dict[int, tuple[int, int]]:
-        """For each item found: least edits, and the end of that occurrence in the normalised text."""
+    def find(self, text: str, any_item: bool = False) -> dict[int, tuple[int, int]]:
+        """For each item found: least edits, and the end of that occurrence in the normalised text.
+
+        With ``any_item`` the search ends at the first occurrence of any item.
+        """
         found: dict[int, tuple[int, int]] = {}
-        done: dict[int, list[int]] = {}
+        # Windows that have been searched whole; the leaves of one occurrence mostly share theirs.
+        done: set[tuple[int, int]] = set()
         for last, (size, owners) in self.automaton.iter(text):
             for number, leaf in owners:
                 origin = last + 1 - size - leaf.begin
                 node, edits, end = leaf, 0, last + 1
-                if any(abs(origin - x) <= len(self.items[number][1]) // 4 for x in done.get(number, ())):
+                if number in found and not found[number][0] or (number, origin) in done:
+                    continue
+                if node.parent is None and not _stands_alone(text, end - size, end):
                     continue
                 while node.parent is not None:
                     node = node.parent
@@ -118,20 +128,36 @@ class Matcher:
                     if edits > node.budget:
                         break
                 else:
-                    done.setdefault(number, []).append(origin)
+                    done.add((number, origin))
                     if number not in found or edits < found[number][0]:
                         found[number] = (edits, end)
+                    if any_item:
+                        return found
         return found
 
 
+def _stands_alone(text: str, begin: int, end: int) -> bool:
+    """No letter or digit goes on across either end."""
+    across = [text[i - 1 : i + 1] for i in (begin, end) if 0 < i < len(text)]
+    return not any(pair.isalnum() for pair in across)
+
+
 _matchers: dict[str, Matcher] = {}
 
 
+def _matcher(key: str, sent: Broadcast, rate: float) -> Matcher:
+    """The worker's matcher of a block; that of an earlier block goes."""
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(sent.value, rate)
+    return _matchers[key]
+
+
 def _blocks(items: DataFrame, least_chars: int, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     block, size = [], 0
     for row in pick(items, "item_id", "text").where("text is not null").toLocalIterator():
         text = normalise(row["text"])
-        if len(text) < least_chars:
+        if len(text) < max(least_chars, 1):
             continue
         if block and size + len(text) > block_chars:
             yield block
@@ -142,42 +168,71 @@ def _blocks(items: DataFrame, least_chars: int, block_chars: int) -> Iterator[li
         yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_chars: int = 24, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _with_last(blocks: Iterator[list[tuple[int | None, str]]]) -> Iterator[tuple[list[tuple[int | None, str]], bool]]:
+    held = next(blocks, None)
+    while held is not None:
+        after = next(blocks, None)
+        yield held, after is None
+        held = after
+
+
+def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_chars: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, item_id, edits, end)`` for each document and each item of ``items(item_id, text)`` that it holds.
 
-    ``edits`` is the least number found, ``end`` the end of that occurrence in the normalised text.
+    ``edits`` is the least number over all its occurrences, ``end`` the end of such an occurrence in the normalised text.
     """
     schema = "doc_id long, item_id long, edits int, end long"
     spark = docs.sparkSession
-    source = pick(docs, "doc_id", "text")
+    source, scratch = pick(docs, "doc_id", "text"), Scratch(spark, "contaminated")
 
-    def scan(block: list[tuple[int | None, str]]) -> DataFrame:
-        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+    def scan(sent: Broadcast) -> DataFrame:
+        key = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if key not in _matchers:
-                _matchers.clear()
-                _matchers[key] = Matcher(sent.value, rate)
-            matcher = _matchers[key]
+            matcher = _matcher(key, sent, rate)
             for batch in batches:
                 rows = [
                     (doc, matcher.items[number][0], *hit)
-                    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-                    for number, hit in matcher.find(normalise(text)).items()
+                    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)
+                    for number, hit in matcher.find(normalise(text.as_py())).items()
                 ]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "item_id", "edits", "end"])
 
         return source.mapInArrow(run, schema)
 
-    found = [scan(block) for block in _blocks(items, least_chars, block_chars)]
+    found = []
+    for block, last in _with_last(_blocks(items, least_chars, block_chars)):
+        sent = spark.sparkContext.broadcast(block)
+        found.append(scan(sent))
+        if not last:
+            found[-1] = scratch.write(found[-1], f"block-{len(found)}")
+            sent.destroy()
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.1) -> DataFrame:
-    """The rows, with all their columns, that hold no item. A row with null ``doc_id`` is judged like any other.
+def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_chars: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows, with all their columns, whose text holds no item."""
+    spark, columns, fields = docs.sparkSession, docs.columns, docs.schema
+    scratch = Scratch(spark, "clean")
 
-    Rows that share a ``doc_id`` are one document: if one is contaminated, all go.
-    """
-    hit = contaminated(docs, items, rate).select("doc_id").distinct()
-    return docs.alias("d").join(hit.alias("h"), F.expr("d.doc_id <=> h.doc_id"), "left_anti")
+    def clean(rows: DataFrame, sent: Broadcast) -> DataFrame:
+        key = uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(key, sent, rate)
+            for batch in batches:
+                keep = [not matcher.find(normalise(text.as_py()), any_item=True) for text in batch.column("text")]
+                yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
+
+        return rows.mapInArrow(run, fields)
+
+    for number, (block, last) in enumerate(_with_last(_blocks(items, least_chars, block_chars))):
+        sent = spark.sparkContext.broadcast(block)
+        docs = clean(docs, sent)
+        if not last:
+            docs = scratch.write(docs, f"block-{number}")
+            sent.destroy()
+            if number:
+                scratch.drop(f"block-{number - 1}")
+    return docs

@@ -67,6 +67,35 @@ def test_case_and_spaces_do_not_hide_an_item(spark, make_docs):
     assert [(r.doc_id, r.edits) for r in decontam.contaminated(docs, bench).collect()] == [(1, 0)]
 
 
+def test_edits_are_the_least_in_periodic_texts():
+    rng = random.Random(8)
+    for _ in range(300):
+        unit = "a" + "".join(rng.choices("ab ", k=rng.randint(2, 5)))
+        item = decontam.normalise((unit * 40)[: rng.randint(20, 70)])
+        text = decontam.normalise("".join(edited(rng, item, rng.randint(0, 4)) for _ in range(3)))
+        budget = int(0.1 * len(item))
+        found = decontam.Matcher([(1, item)], 0.1).find(text)
+        least = distance_in(item, text)
+        if budget:
+            assert (0 in found) == (least <= budget) and (not found or found[0][0] == least)
+
+
+def test_short_items_are_found_as_whole_words(spark, make_docs):
+    bench = spark.createDataFrame([(1, "The answer is 42"), (2, "ion"), (3, "x"), (4, " ")], "item_id long, text string")
+    docs = make_docs([(1, "so the answer is 42."), (2, "a nation"), (3, "an ion, charged"), (4, "ion"), (5, "x-ray"), (6, "xx"), (7, "the answer is 43")])
+    found = {(r.doc_id, r.item_id, r.edits) for r in decontam.contaminated(docs, bench).collect()}
+    assert found == {(1, 1, 0), (3, 2, 0), (4, 2, 0), (5, 3, 0), (7, 1, 1)}
+    assert {r.doc_id for r in decontam.contaminated(docs, bench, least_chars=10).collect()} == {1, 7}
+
+
+def test_each_row_is_judged_by_its_own_text(spark, make_docs):
+    bench = spark.createDataFrame([(1, "what is the capital of the northern province"), (2, "which river runs by the stone house")], "item_id long, text string")
+    docs = make_docs([(None, "which river runs by the stone house"), (None, "clean"), (7, "what is the capital of the northern province"), (7, "clean too"), (8, None)])
+    for block in (decontam.BLOCK_CHARS, 10):
+        kept = decontam.keep_clean(docs, bench, block_chars=block).collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, "clean"), (7, "clean too"), (8, None)], key=str)
+
+
 def test_stage_keeps_clean_rows_and_columns(spark, make_docs, corpus):
     bench = spark.createDataFrame([(1, dict(corpus)[30][:150])], "item_id long, text string")
     docs = make_docs(corpus + [(None, "a row without id")])
