@@ -8,7 +8,8 @@ shuffle.
 
 Edge cases
     A null key counts as one key. Repeated keys share a shard. Shard names must be distinct, at least one and no more than
-    slots; the size must be prime. Extra columns are kept by ``place`` and may have any name but the two that it adds.
+    slots; the size must be prime. Extra columns are kept by ``place``; those called ``slot`` or ``shard``, as
+    the columns that it adds are, come back as ``slot_input`` and ``shard_input``. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ def lookup_table(shards: list[str], slots: int = SLOTS) -> list[int]:
 def place(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
     """``rows`` with ``slot`` and ``shard``."""
     spark = rows.sparkSession
+    names = [c if c not in ("slot", "shard") else f"{c}_input" for c in rows.columns]
     table = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots))], "slot int, shard string")
     slot = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(slots)).cast("int")
-    return rows.withColumn("slot", slot).join(F.broadcast(table), "slot").select(*[F.col(f"`{c}`") for c in rows.columns], "slot", "shard")
+    kept = rows.select(slot.alias("slot"), *[F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, names, strict=True)])
+    return kept.join(F.broadcast(table), "slot").select(*[F.col(f"`{n}`") for n in names], "slot", "shard")

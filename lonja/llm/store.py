@@ -2,7 +2,8 @@
 
 An iterative or two-pass operator cuts its lineage here: the table is written as Parquet under
 ``spark.checkpoint.dir`` and read back, so a lost executor costs a re-read, not a recomputation. Nothing is kept in
-executor-local storage. A session without that setting (tests, a laptop) gets a folder of its own, once.
+executor-local storage. A local session without that setting (tests, a laptop) gets a folder of its own, once; on a
+cluster a folder of one machine would be lost to the others, so that is an error.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ _own: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the cluster names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's shared folder: ``spark.checkpoint.dir``, else what ``setCheckpointDir`` named; a temporary one locally."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     context = id(spark.sparkContext)
     if context not in _own:
         _own[context] = "file://" + tempfile.mkdtemp(prefix="lonja-shared-")

@@ -50,6 +50,14 @@ def test_placement(make_docs, corpus):
     assert sharding.place(make_docs([]), "doc_id", SHARDS, 211).count() == 0
 
 
+def test_clashing_columns_come_back_renamed(spark):
+    rows = spark.createDataFrame([(1, "mine", 5)], "doc_id long, shard string, slot int")
+    placed = sharding.place(rows, "doc_id", SHARDS, 211)
+    row = placed.first()
+    assert placed.columns == ["doc_id", "shard_input", "slot_input", "slot", "shard"] and (row.shard_input, row.slot_input) == ("mine", 5) and row.shard in SHARDS
+    assert sharding.place(rows, "shard", SHARDS, 211).first().shard_input == "mine"
+
+
 @pytest.mark.parametrize(("shards", "slots"), [([], 7), (["a", "a"], 7), (["a"], 8), ([str(i) for i in range(9)], 7)])
 def test_bad_arguments(shards, slots):
     with pytest.raises(ValueError):
