@@ -56,7 +56,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "lines")
     docs = numbered(table(spark, sf_dir, "documents"), scratch)
-    report = line_report(docs, removed_lines(docs, scratch, least_chars=10))
+    report = line_report(docs, removed_lines(docs, scratch))
     return report.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
@@ -131,7 +131,7 @@ _LINE_SQL = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(string_split(text, chr(10)), []) AS ls FROM documents
 ), lines AS (
-  SELECT doc_id, i - 1 AS line_no, ls[i] AS line, length(ls[i]) AS n FROM docs, unnest(range(1, len(ls) + 1)) AS t(i) WHERE length(ls[i]) >= 10
+  SELECT doc_id, i - 1 AS line_no, ls[i] AS line, length(ls[i]) AS n FROM docs, unnest(range(1, len(ls) + 1)) AS t(i)
 ), ranked AS (
   SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM lines
 ), distinct_lines AS (
