@@ -22,8 +22,10 @@ Similar texts
     row and the cell's best connected one; the second compares every pair that the first has not already put in one component.
 
 Edge cases
-    Null text has no words. Null ``doc_id``: the row is kept, its component is named by the smallest non-null ``doc_id``
-    reachable, null if there is none. Repeated rows give repeated results. Extra columns are ignored.
+    Null text has no words. Null ``doc_id``: the row takes part, its component is named by the smallest non-null ``doc_id``
+    reachable, null if there is none. Repeated rows give repeated results, but ``keep_one`` keeps one row of each group,
+    whatever ids its rows share or lack. Texts of any length are compared whole. Empty tables give empty results. Extra
+    columns are ignored, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ _TILE = 512
 SKETCH = 512
 #: Min-hash groups of similar texts, and min-hashes in each.
 BANDS, ROWS = 24, 4
+#: Texts that are held at once as sets of shingles.
+_ROWS = 512
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -325,9 +329,17 @@ def similar_groups(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, s
 
     Texts without words are one group.
     """
+    prints, placed = _similar_classes(docs, scratch, similarity, shingle, slice_rows)
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = placed.join(named, "root").select("node", "component_id")
+    return prints.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+
+
+def _similar_classes(docs: DataFrame, scratch: Scratch, similarity: float, shingle: int, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, key, node)`` of each row, ``key`` being a hash of its text, and ``(node, least, root)`` of each node."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             sets = [grams(x, shingle) for x in batch.column("text").to_pylist()]
             nodes = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
             found = {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "node": pa.array(nodes), "size": pa.array([len(x) for x in sets], pa.int64())}
@@ -335,7 +347,7 @@ def similar_groups(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, s
             yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([grams(x, shingle).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], ["node", "grams"])
 
     keyed = pick(docs, "doc_id", "text").withColumn("key", F.expr("xxhash64(text)"))
@@ -364,15 +376,22 @@ def similar_groups(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, s
     roots = components(sure.union(rest), scratch)
     scratch.drop("met", "wanted", "sets", "pairs-sure", "pairs-rest")
     placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select("node", "component_id")
-    return prints.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "key", "node"), placed
 
 
-def keep_one(docs: DataFrame, scratch: Scratch, similarity: float = 0.8) -> DataFrame:
-    """The rows of the smallest ``doc_id`` of each group of similar texts, with all their columns.
+def keep_one(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, shingle: int = 5, slice_rows: int = 2048) -> DataFrame:
+    """One row, with all its columns, of each group of similar texts: that of the smallest ``doc_id``, nulls last.
 
-    A row whose ``doc_id`` is null is kept.
+    Of several texts with that id the one of the smallest hash stays, of several rows with that id and text any one.
     """
-    kept = similar_groups(docs, scratch, similarity).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    prints, placed = _similar_classes(docs, scratch, similarity, shingle, slice_rows)
+    rows = prints.join(placed.select("node", "root"), "node").groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "rows")).alias("it"))
+    chosen = scratch.write(chosen.select(F.col("it.doc_id").alias("_id"), F.col("it.key").alias("_key"), F.col("it.rows").alias("_rows")), "chosen")
+    same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.expr("xxhash64(text)") == F.col("_key"))
+    kept = docs.join(chosen.where("_rows = 1"), same, "left_semi")
+    several = chosen.where("_rows > 1")
+    if several.isEmpty():
+        return kept
+    again = docs.join(several, same, "left_semi").withColumn("_key", F.expr("xxhash64(text)")).dropDuplicates(["doc_id", "_key"])
+    return kept.union(again.drop("_key"))

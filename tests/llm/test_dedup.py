@@ -149,6 +149,13 @@ def test_keep_one(make_docs, scratch, corpus):
     assert simhash.keep_one(make_docs([]), scratch).count() == 0
 
 
+def test_keep_one_of_rows_that_share_ids(make_docs, scratch):
+    text, other = "the river runs by the stone house under great light", "a wholly different text of some words that stands alone"
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, text), (None, other), (None, other), (3, None), (3, ""), (None, " ")]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(make_docs(rows), scratch).collect()), key=str)
+    assert len(kept) == 3 and (1, text) in kept and (None, other) in kept and sum(i == 3 for i, _ in kept) == 1
+
+
 def jaccard(a, b, n=5):
     one, two = ({tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} for t in (a, b))
     return len(one & two) / len(one | two)
@@ -241,7 +248,7 @@ def test_lines_equal_brute_force(make_docs, scratch):
             lines.append("".join(line))
         rows.append((doc, "\n".join(lines)))
     rows += [(100, None), (101, ""), (None, base[0] + "\n" + base[1]), (102, "q" * 400), (103, "q" * 401 + "\n" + "q" * 399), (104, "aaaaaaaaaa\naaaaaaaaaaa\nbaaaaaaaaa")]
-    for least in (1, 10):
+    for least in (0, 1, 10):
         docs = make_docs(rows)
         removed = line_dedup.removed_lines(docs, scratch, least)
         found = line_dedup.line_report(docs, removed).collect()
