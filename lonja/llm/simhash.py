@@ -19,7 +19,9 @@ Similar texts
     Equal sets are one node. ``BANDS`` groups of ``ROWS`` min-hashes deal nodes to cells; a pair at 0.8 shares no cell with a
     probability of 3e-6. In a cell, pairs go on whose set sizes allow the similarity and whose ``SKETCH``-bit SimHashes differ
     in no more bits than the mean of a pair at 0.8 plus four standard deviations. A first round compares each row's nearest
-    row and the cell's best connected one; the second compares every pair that the first has not already put in one component.
+    row and the cell's best connected one. The second compares every pair that the first has not already put in one
+    component, in the first cell that the two share: the rows that stand in such a pair are sent there with their sets, and
+    spanning links come back, so no pairs of a large group are written.
 
 Edge cases
     Null text has no words. Null ``doc_id``: the row takes part, its component is named by the smallest non-null ``doc_id``
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,10 @@ SKETCH = 512
 BANDS, ROWS = 24, 4
 #: Texts that are held at once as sets of shingles.
 _ROWS = 512
+#: Shingles of a slice of a hot cell.
+_SLICE_GRAMS = 2_000_000
+#: Columns of bytes that hold arrays of numbers.
+_PACKED = {"sketch": np.uint64, "marks": np.uint32}
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -188,47 +195,66 @@ def cell_links(side: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.nd
     return order[a], order[b]
 
 
-def _by_cell(columns: tuple[str, ...], solve: Callable[..., tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Applies ``solve(side, *columns)`` to the rows of each cell, which stand together; it returns pairs of row numbers."""
+def _by_cell(columns: tuple[str, ...], solve: Callable[..., tuple[np.ndarray, ...]], rows: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Applies ``solve(side, *columns)`` to the rows of each cell, which stand together.
 
-    def read(batch: pa.RecordBatch, name: str) -> np.ndarray:
-        if name == "sketch":
-            return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-        return batch.column(name).to_numpy()
+    It returns pairs of row numbers, which become pairs of nodes ``u, v``; with ``rows`` the numbers of rows to hand on.
+    """
 
-    def cells(key: np.ndarray, side: np.ndarray, node: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+    def read(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        column = batch.column(name)
+        if name in _PACKED:
+            return np.frombuffer(b"".join(column.to_pylist()), _PACKED[name]).reshape(batch.num_rows, -1)
+        if name == "grams":
+            found = np.empty(batch.num_rows, object)
+            found[:] = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+            return found
+        return column.to_numpy()
+
+    def pairs(side: np.ndarray, node: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
+        i, j = solve(side, *rest)
+        return node[i], node[j]
+
+    def cells(key: np.ndarray, batch: pa.Table, side: np.ndarray, node: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
         bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a > 1:
-                i, j = solve(side[a:b], *(x[a:b] for x in rest))
-                u.append(node[a:b][i])
-                v.append(node[a:b][j])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+        spans = [(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 1]
+        if rows:
+            found = [a + solve(side[a:b], *(x[a:b] for x in rest))[0] for a, b in spans]
+            yield from batch.take(pa.array(np.concatenate([np.empty(0, np.int64), *found]))).combine_chunks().to_batches()
+            return
+        found = [pairs(side[a:b], node[a:b], *(x[a:b] for x in rest)) for a, b in spans]
+        u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
+        left, rest = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = np.column_stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
-            now = (key, *(read(batch, c) for c in ("side", "node", *columns)))
+            now, whole = (key, *(read(batch, c) for c in ("side", "node", *columns))), pa.Table.from_batches([batch] if rows else [], batch.schema)
             if rest is not None:
-                now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
+                now, whole = tuple(np.concatenate(x) for x in zip(rest, now, strict=True)), pa.concat_tables([left, whole])
             last = int(np.flatnonzero((now[0] != now[0][-1]).any(axis=1))[-1]) + 1 if (now[0][0] != now[0][-1]).any() else 0
             if last:
-                yield cells(*(x[:last] for x in now))
-            rest = tuple(x[last:] for x in now)
+                yield from cells(now[0][:last], whole.slice(0, last), *(x[:last] for x in now[1:]))
+            left, rest = whole.slice(last), tuple(x[last:] for x in now)
         if rest is not None:
-            yield cells(*rest)
+            yield from cells(rest[0], left, *rest[1:])
 
     return run
 
 
-def _repeated(banded: DataFrame, slice_rows: int) -> DataFrame:
-    """Rows ``(key, node)`` whose key repeats, with the number of slices of their key."""
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
-    return banded.join(sizes, "key")
+def _repeated(banded: DataFrame, slice_rows: int, slice_grams: int | None = None) -> DataFrame:
+    """Rows ``(key, node)`` whose key repeats, with the number of slices of their key.
+
+    Slices hold about ``slice_rows`` rows; with ``slice_grams`` also no more than about so many shingles by ``size``.
+    """
+    parts = F.col("n") / slice_rows
+    if slice_grams:
+        parts = F.greatest(parts, F.col("grams") / slice_grams)
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), (F.sum("size") if slice_grams else F.lit(0)).alias("grams"))
+    return banded.join(sizes.where("n > 1").select("key", F.ceil(parts).cast("int").alias("slices")), "key")
 
 
 def _cells(sized: DataFrame, *carried: str) -> DataFrame:
@@ -265,16 +291,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = 3, radius:
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def cell_pairs(side: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, groups: np.ndarray, similarity: float, spread: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of a cell to compare: of different groups, of sizes and sketches that allow the similarity.
+def _allowed(side: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, groups: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tile by tile: rows of one side, rows of the other, and the distance of each pair.
 
-    With ``spread`` these are at most two for each row: its nearest row, and the row with the most near rows.
+    It is beyond ``SKETCH`` for pairs of one group and where sizes or sketches do not allow the similarity.
     """
     low = side == side.min()
     left = np.flatnonzero(low)
     right = left if low.all() else np.flatnonzero(~low)
-    limit, near = sketch_limit(similarity, 4), sketch_limit(similarity)
-    degrees, found = np.zeros(len(side), np.int64), []
     rows = max(1, _TILE * _TILE // len(right))
     for at in range(0, len(left), rows):
         tile = left[at : at + rows]
@@ -282,23 +306,26 @@ def cell_pairs(side: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, groups
         for word in range(sketches.shape[1]):
             distance += np.bitwise_count(sketches[tile, word][:, None] ^ sketches[right, word][None, :])
         small, large = np.minimum(sizes[tile][:, None], sizes[right][None, :]), np.maximum(sizes[tile][:, None], sizes[right][None, :])
-        allowed = (distance <= limit) & (small >= similarity * large - 1e-6) & (groups[tile][:, None] != groups[right][None, :])
-        if not spread:
-            i, j = np.nonzero(allowed)
-            apart = tile[i] < right[j] if low.all() else slice(None)
-            found.append((tile[i][apart], right[j][apart]))
-            continue
-        distance[~allowed] = SKETCH + 1
+        barred = (distance > sketch_limit(similarity, 4)) | (small < similarity * large - 1e-6) | (groups[tile][:, None] == groups[right][None, :])
+        distance[barred] = SKETCH + 1
+        yield tile, right, distance
+
+
+def sure_pairs(side: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, groups: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """At most two pairs for each row of a cell: with its nearest row, and with the row that has the most near rows."""
+    limit, near = sketch_limit(similarity, 4), sketch_limit(similarity)
+    degrees, found = np.zeros(len(side), np.int64), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for tile, right, distance in _allowed(side, sketches, sizes, groups, similarity):
         close = distance <= near
         degrees[tile] += close.sum(axis=1)
-        if not low.all():
+        if side[tile[0]] != side[right[0]]:
             degrees[right] += close.sum(axis=0)
         nearest = distance.argmin(axis=1)
         some = distance[np.arange(len(tile)), nearest] <= limit
         found.append((tile[some], right[nearest[some]]))
-    if spread and degrees.any():
+    if degrees.any():
         hub = int(degrees.argmax())
-        others = right if low[hub] else left
+        others = np.flatnonzero(side != side[hub]) if side.min() != side.max() else np.arange(len(side))
         distance = np.bitwise_count(sketches[others] ^ sketches[hub]).sum(axis=1, dtype=np.int64)
         others = others[(distance <= near) & (groups[others] != groups[hub])]
         found.append((np.full(len(others), hub), others))
@@ -306,18 +333,60 @@ def cell_pairs(side: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, groups
     return a, b
 
 
+def _pairs_of_this_cell(side: np.ndarray, key: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, groups: np.ndarray, marks: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Allowed pairs whose first common min-hash group is the cell's own, so that each pair is compared in one cell only."""
+    own = int(np.flatnonzero(marks[0] == np.uint32(int(key[0]) & 0xFFFFFFFF))[0])
+    for tile, right, distance in _allowed(side, sketches, sizes, groups, similarity):
+        i, j = np.nonzero(distance <= SKETCH)
+        a, b = tile[i], right[j]
+        here = a < b if side[tile[0]] == side[right[0]] else np.ones(len(a), bool)
+        here[here] = (marks[a[here]] == marks[b[here]]).argmax(axis=1) == own
+        yield a[here], b[here]
+
+
+def rows_to_compare(side: np.ndarray, *columns: np.ndarray, similarity: float) -> tuple[np.ndarray]:
+    """Rows of a cell that stand in a pair to compare."""
+    wanted = np.zeros(len(side), bool)
+    for a, b in _pairs_of_this_cell(side, *columns, similarity):
+        wanted[a] = wanted[b] = True
+    return (np.flatnonzero(wanted),)
+
+
+def jaccard_at_least(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of hashes have that similarity."""
+    merged = np.concatenate([one, two])
+    merged.sort(kind="stable")
+    both = int((merged[1:] == merged[:-1]).sum())
+    return both >= similarity * (len(merged) - both) - 1e-6
+
+
+def cell_similar(side: np.ndarray, grams: np.ndarray, *columns: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of a cell: pairs of rows of that similarity; pairs that earlier links connect are not compared."""
+    parent = list(range(len(side)))
+
+    def root(n: int) -> int:
+        while parent[n] != n:
+            parent[n] = n = parent[parent[n]]
+        return n
+
+    found = []
+    for a, b in _pairs_of_this_cell(side, *columns, similarity):
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            one, two = root(i), root(j)
+            if one != two and jaccard_at_least(grams[i], grams[j], similarity):
+                parent[one] = two
+                found.append((i, j))
+    i, j = np.array(found, np.int64).reshape(-1, 2).T
+    return i, j
+
+
 def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs(u, v)`` whose sets of ``sets(node, grams)`` have that Jaccard similarity at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
-                a, b = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-                merged = np.concatenate([a, b])
-                merged.sort(kind="stable")
-                both = int((merged[1:] == merged[:-1]).sum())
-                keep.append(both >= similarity * (len(merged) - both) - 1e-6)
+            sets = zip(*([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("one", "two")), strict=True)
+            keep = [jaccard_at_least(one, two, similarity) for one, two in sets]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (sets.select(F.col("node").alias(n), F.col("grams").alias(g)) for n, g in (("u", "one"), ("v", "two")))
@@ -343,7 +412,9 @@ def _similar_classes(docs: DataFrame, scratch: Scratch, similarity: float, shing
             sets = [grams(x, shingle) for x in batch.column("text").to_pylist()]
             nodes = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
             found = {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "node": pa.array(nodes), "size": pa.array([len(x) for x in sets], pa.int64())}
-            found |= {"sketch": pa.array(map(_sketch, sets), pa.binary()), "bands": pa.array([min_hashes(x).view(np.int64) for x in sets], pa.list_(pa.int64()))}
+            bands = [min_hashes(x) for x in sets]
+            found |= {"sketch": pa.array(map(_sketch, sets), pa.binary()), "marks": pa.array([x.astype(np.uint32).tobytes() for x in bands], pa.binary())}
+            found["bands"] = pa.array([x.view(np.int64) for x in bands], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,30 +422,35 @@ def _similar_classes(docs: DataFrame, scratch: Scratch, similarity: float, shing
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([grams(x, shingle).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], ["node", "grams"])
 
     keyed = pick(docs, "doc_id", "text").withColumn("key", F.expr("xxhash64(text)"))
-    prints = scratch.write(keyed.mapInArrow(prepare, "doc_id long, key long, node long, size long, sketch binary, bands array<long>"), "prints")
-    firsts = [F.first(c).alias(c) for c in ("key", "size", "sketch", "bands")]
+    prints = scratch.write(keyed.mapInArrow(prepare, "doc_id long, key long, node long, size long, sketch binary, marks binary, bands array<long>"), "prints")
+    firsts = [F.first(c).alias(c) for c in ("key", "size", "sketch", "marks", "bands")]
     nodes = scratch.write(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *firsts), "nodes")
 
-    met = scratch.write(_repeated(nodes.select("node", F.explode("bands").alias("key")), slice_rows), "met")
-    wanted = scratch.write(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "key", "size", "sketch"), "wanted")
+    met = scratch.write(_repeated(nodes.select("node", "size", F.explode("bands").alias("key")), slice_rows, _SLICE_GRAMS).drop("size"), "met")
+    wanted = scratch.write(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "key", "size", "sketch", "marks"), "wanted")
     texts = keyed.select("key", "text").join(wanted.select("key", "node"), "key").dropDuplicates(["node"])
     sets = scratch.write(texts.mapInArrow(spell, "node long, grams binary"), "sets")
 
-    def compared(groups: DataFrame, spread: bool, name: str) -> DataFrame:
-        """Links among the pairs of cells that hold several groups of ``groups(node, group)``."""
+    def mixed(groups: DataFrame, *columns: str) -> DataFrame:
+        """Rows of the cells that hold several groups of ``groups(node, group)``."""
         rows = met.join(groups, "node")
-        mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-        rows = rows.join(mixed, "key", "left_semi").join(wanted.select("node", "size", "sketch"), "node")
-        solve = lambda side, sketches, sizes, group: cell_pairs(side, sketches, sizes, group, similarity, spread)
-        pairs = _cells(rows, "sketch", "size", "group").mapInArrow(_by_cell(("sketch", "size", "group"), solve), "u long, v long")
-        pairs = scratch.write(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"pairs-{name}")
-        return scratch.write(similar_links(pairs, sets, similarity), f"links-{name}")
-
-    sure = compared(wanted.select("node", F.col("node").alias("group")), True, "sure")
+        several = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+        return _cells(rows.join(several, "key", "left_semi").join(wanted.select("node", *columns), "node"), *columns, "group")
+
+    nearest = lambda side, sketches, sizes, group: sure_pairs(side, sketches, sizes, group, similarity)
+    pairs = mixed(wanted.select("node", F.col("node").alias("group")), "sketch", "size").mapInArrow(_by_cell(("sketch", "size", "group"), nearest), "u long, v long")
+    pairs = scratch.write(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    sure = scratch.write(similar_links(pairs, sets, similarity), "sure")
     joined = components(sure, scratch, "first")
-    rest = compared(wanted.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("group")), False, "rest")
-    roots = components(sure.union(rest), scratch)
-    scratch.drop("met", "wanted", "sets", "pairs-sure", "pairs-rest")
+
+    # What is left may be many pairs of few rows, so rows are handed on, and pairs never leave their cell.
+    cells = mixed(wanted.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("group")), "sketch", "size", "marks")
+    columns = ("key", "sketch", "size", "group", "marks")
+    marked = scratch.write(cells.mapInArrow(_by_cell(columns, partial(rows_to_compare, similarity=similarity), rows=True), cells.schema), "marked")
+    spelled = marked.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rest = spelled.mapInArrow(_by_cell(("grams", *columns), partial(cell_similar, similarity=similarity)), "u long, v long")
+    roots = components(sure.union(scratch.write(rest, "rest")), scratch)
+    scratch.drop("met", "wanted", "sets", "pairs", "marked")
     placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     return prints.select("doc_id", "key", "node"), placed
 
