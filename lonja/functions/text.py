@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,11 @@ def as_col(value: Column | str) -> Column:
     return F.col(f"`{value}`") if isinstance(value, str) else value
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def blank(value: Column | str) -> Column:
     """Null as the empty string."""
     return F.coalesce(as_col(value).cast("string"), F.lit(""))

@@ -1,8 +1,8 @@
 """Repeated keys, keep-first, membership and keep-cheapest.
 
-Choices per key are made by partial aggregation and a join back, not by a window over the key: a key that holds a large
-share of all rows is combined before the shuffle and, as a join key, split by adaptive execution. ``order`` names a
-column that is unique and gives the reading order.
+Choices per key are partial aggregates of whole rows, not windows over the key: a key that holds a large share of all rows
+is combined before the shuffle, and the table is read once. Where the other rows are wanted too, the choice is joined
+back. ``order`` names a column that is unique and gives the reading order.
 """
 
 from __future__ import annotations
@@ -28,6 +28,13 @@ def repeated_total(df: DataFrame, column: str) -> DataFrame:
     return repeated_keys(df, column).agg(F.count("*").alias("keys"), F.coalesce(F.sum("times"), F.lit(0)).alias("rows"))
 
 
+def _least(df: DataFrame, keys: list[Column], by: Column) -> DataFrame:
+    """The row of the least ``by`` for each value of the keys, with the columns of ``df``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    best = df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, by).alias("_row"))
+    return best.select(*[F.col("_row")[c].alias(c) for c in df.columns])
+
+
 def _marked(df: DataFrame, column: str, order: str) -> DataFrame:
     keyed = df.withColumn("_k", clean_key(column))
     groups = keyed.where("_k <> ''").groupBy(F.col("_k").alias("_g")).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
@@ -41,13 +48,13 @@ def duplicate_report(df: DataFrame, column: str, order: str = "_ord") -> DataFra
 
 def without_duplicates(df: DataFrame, column: str, order: str = "_ord") -> DataFrame:
     """The first row of each repeated key and every other row; blank keys always stay."""
-    return _marked(df, column, order).where(f"_n is null or `{order}` = _first").drop("_k", "_g", "_n", "_first")
+    key = clean_key(column)
+    return _least(df, [key, F.when(key == "", F.col(order))], F.col(order))
 
 
 def keep_first(df: DataFrame, key: str, order: str = "_ord") -> DataFrame:
     """The first row of each value of ``key``."""
-    firsts = df.groupBy(F.col(key).alias("_g")).agg(F.min(order).alias("_first"))
-    return df.join(firsts, F.expr(f"`{key}` <=> _g and `{order}` = _first"), "left_semi")
+    return _least(df, [F.col(f"`{key}`")], F.col(order))
 
 
 def rows_with_key_in(df: DataFrame, column: str, other: DataFrame, other_column: str, inside: bool = True) -> DataFrame:
@@ -61,9 +68,13 @@ def sortable_price(value: Column | str) -> Column:
     return F.coalesce(finite_number(value), F.lit(float("inf")))
 
 
+def _by_price(price: str, order: str) -> Column:
+    return F.struct(sortable_price(F.col(f"`{price}`").cast("string")).alias("p"), F.col(order).alias("o"))
+
+
 def rank_by_price(df: DataFrame, key: str, price: str, order: str = "_ord") -> DataFrame:
     """Adds ``cheapest``: true for the row of lowest price of each key, the earliest in a tie."""
-    priced = df.withColumn("_p", F.struct(sortable_price(F.col(f"`{price}`").cast("string")).alias("p"), F.col(order).alias("o")))
+    priced = df.withColumn("_p", _by_price(price, order))
     best = priced.groupBy(F.col(key).alias("_g")).agg(F.min("_p").alias("_best"))
     return priced.join(best, F.expr(f"`{key}` <=> _g")).withColumn("cheapest", F.expr("_p.o = _best.o")).drop("_p", "_g", "_best")
 
@@ -72,4 +83,4 @@ def keep_cheapest(df: DataFrame, key: str, price: str, order: str = "_ord") -> t
     """Survivors, and the dearer rows with the reason."""
     ranked = rank_by_price(df, key, price, order)
     lost = ranked.where("not cheapest").drop("cheapest").withColumn("Motivo_Eliminacion", F.lit("Duplicado - precio más alto"))
-    return ranked.where("cheapest").drop("cheapest"), lost
+    return _least(df, [F.col(f"`{key}`")], _by_price(price, order)), lost

@@ -8,7 +8,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lonja.functions.text import blank, clean_key, phrase_key
+from lonja.functions.text import bind, blank, clean_key, phrase_key
 from lonja.operators.align import rename_brought
 
 
@@ -59,41 +59,64 @@ def phrase_table(table: DataFrame, key: str, bring: Sequence[str], order: str =
     return _reduce(keyed, "clave_norm", bring, order, every)
 
 
-def _hits_theta(texts: DataFrame, lookup: DataFrame) -> DataFrame:
-    return texts.join(F.broadcast(lookup), F.expr("contains(concat(' ', _t, ' '), concat(' ', clave_norm, ' '))"))
+def _grams(text: str, lengths: Sequence[int]) -> Column:
+    """The word n-grams of a normalised text, for some lengths; each length is the one below with a further word."""
+    words = F.split(F.col(text), " ")
 
+    def every(w: Column) -> Column:
+        longer, found = w, [w] if 1 in lengths else []
+        for n in range(2, max(lengths) + 1):
+            # Beyond the last word the result is null, which equals no phrase.
+            longer = F.zip_with(longer, F.slice(w, n, F.size(w)), lambda gram, word: F.concat(gram, F.lit(" "), word))
+            found += [longer] if n in lengths else []
+        return F.concat(*found)
 
-def _hits_grams(texts: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Every word n-gram of a text, for the lengths that keys have, joined by equality."""
-    lengths = [r[0] for r in lookup.select(F.size(F.split("clave_norm", " ")).alias("n")).distinct().collect()]
-    if not lengths:
-        return texts.join(lookup, F.lit(False))
-    grams = "array_distinct(flatten(transform(array({}), n -> transform(if(size(w) < n, array(), sequence(1, size(w) - n + 1)), i -> array_join(slice(w, i, n), ' ')))))"
-    split = texts.withColumn("w", F.split("_t", " ")).withColumn("_g", F.explode(F.expr(grams.format(", ".join(map(str, lengths)))))).drop("w")
-    return split.join(lookup, F.col("_g") == F.col("clave_norm")).drop("_g")
+    return bind(words, every)
 
 
-def phrase_lookup(base: DataFrame, column: str, lookup: DataFrame, several: Several, order: str = "_ord", grams: bool | None = None, matched_only: bool = False, small: int = 1000) -> DataFrame:
+def _with_every_phrase(keyed: DataFrame, lookup: DataFrame, bring: Sequence[str], several: Several) -> DataFrame:
+    """``keyed`` with ``_hits``, the phrases found in order of choice. The whole lookup is one row, attached to each text."""
+    first = [(-F.char_length("clave_norm")).alias("l")] if several is Several.LONGEST else []
+    entry = F.struct(*first, F.col("_rank"), F.concat(F.lit(" "), "clave_norm", F.lit(" ")).alias("k"), *[blank(c).alias(f"_b_{i}") for i, c in enumerate(bring)])
+    phrases = lookup.agg(F.array_sort(F.collect_list(entry)).alias("_phrases"))
+    padded = keyed.withColumn("_t", F.concat(F.lit(" "), "_t", F.lit(" ")))
+    return padded.crossJoin(F.broadcast(phrases)).withColumn("_hits", F.expr("filter(_phrases, p -> contains(_t, p.k))")).drop("_phrases")
+
+
+def _with_gram_join(base: DataFrame, keyed: DataFrame, lookup: DataFrame, bring: Sequence[str], several: Several, order: str, sent: bool) -> DataFrame:
+    """The same from an equality join with the n-grams of each text, for the lengths that phrases have."""
+    lengths = [r[0] for r in lookup.select(F.size(F.split("clave_norm", " ")).alias("n")).distinct().orderBy("n").collect()]
+    grams = keyed.select(F.col(order).alias("_at"), F.explode(_grams("_t", lengths or [1])).alias("_g"))
+    first = [(-F.char_length("clave_norm")).alias("l")] if several is Several.LONGEST else []
+    entry = F.struct(*first, F.col("_rank"), *[blank(c).alias(f"_b_{i}") for i, c in enumerate(bring)])
+    hits = grams.join(F.broadcast(lookup) if sent else lookup, F.col("_g") == F.col("clave_norm")).groupBy("_at")
+    # Only the policy that reports all hits gathers them; the others keep the least.
+    hits = hits.agg((F.array_sort(F.collect_set(entry)) if several is Several.ALL else F.array(F.min(entry))).alias("_hits"))
+    return base.join(hits, F.col(f"`{order}`") == F.col("_at"), "left")
+
+
+def phrase_lookup(base: DataFrame, column: str, lookup: DataFrame, several: Several, order: str = "_ord", grams: bool = False, matched_only: bool = False, small_bytes: int = 1 << 20, sent_bytes: int = 32 << 20) -> DataFrame:
     """Rows with the brought columns of the phrases that their text holds as whole words.
 
-    Distinct texts are matched once. A lookup of at most ``small`` rows is tried on each text; a larger one is joined
-    with the texts' word n-grams, whose equality gives the same hits. ``grams`` forces either way.
+    A lookup of at most ``small_bytes`` is sent to all tasks and tried on each text, without a shuffle. A larger one, or any
+    with ``grams``, is joined with the texts' word n-grams, whose equality gives the same hits: up to ``sent_bytes`` as a
+    broadcast, beyond that by a shuffle of both sides. ``order`` is unique.
     """
     bring = [c for c in lookup.columns if c not in ("clave_norm", "_rank")]
-    if grams is None:
-        grams = len(lookup.limit(small + 1).take(small + 1)) > small
     keyed = base.withColumn("_t", phrase_key(column))
-    texts = keyed.select("_t").where("_t <> ''").distinct()
-    hits = _hits_grams(texts, lookup) if grams else _hits_theta(texts, lookup)
-    values = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in bring]
-    if several is Several.ALL:
-        best = hits.groupBy("_t").agg(*[_joined(c, "_rank").alias(f"_b_{i}") for i, c in enumerate(bring)])
+    size = lookup.agg(F.sum(sum((F.length(blank(c)) for c in ("clave_norm", *bring)), F.lit(32)))).first()[0] or 0
+    if grams or size > small_bytes:
+        found = _with_gram_join(base, keyed, lookup, bring, several, order, size <= sent_bytes)
     else:
-        by = [F.col("_rank")] if several is Several.FIRST else [(-F.char_length("clave_norm")).alias("_l"), F.col("_rank")]
-        best = hits.groupBy("_t").agg(F.min(F.struct(*by, *values)).alias("_f")).select("_t", *[F.col(f"_f.`{c}`").alias(f"_b_{i}") for i, c in enumerate(bring)])
+        found = _with_every_phrase(keyed, lookup, bring, several)
+    if matched_only:
+        found = found.where("size(_hits) > 0")
     names = rename_brought(base.columns, bring)
-    joined = keyed.join(best, "_t", "inner" if matched_only else "left")
-    return joined.select(*[blank(f"_b_{i}").alias(names[c]) for i, c in enumerate(bring)], *[F.col(f"`{c}`") for c in base.columns])
+    if several is Several.ALL:
+        values = [F.array_join(F.col(f"_hits._b_{i}"), "\n") for i in range(len(bring))]
+    else:
+        values = [F.expr(f"get(_hits, 0)._b_{i}") for i in range(len(bring))]
+    return found.select(*[blank(v).alias(names[c]) for c, v in zip(bring, values, strict=True)], *[F.col(f"`{c}`") for c in base.columns])
 
 
 def word_table(words: DataFrame, column: str, order: str = "_ord") -> DataFrame:

@@ -13,7 +13,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lonja.functions.text import as_col, blank, capitalise, collapse_space, dollar_price, first_digits, trim_space
+from lonja.functions.text import as_col, bind, blank, capitalise, collapse_space, dollar_price, first_digits, trim_space
 from lonja.functions.urls import cut_reference, item_id, listing_image, product_id, variant_image
 from lonja.operators.align import refuse_reserved
 from lonja.operators.dups import keep_cheapest
@@ -70,20 +70,22 @@ def _tokens(title: Column | str) -> Column:
 def features(title: Column | str) -> Column:
     """Mapped words in order, once each, opposite pairs cancelled, capitalised, with a blank at the end if any."""
     mapping = F.create_map(*[F.lit(x) for pair in FEATURES.items() for x in pair])
+    opposite = F.create_map(*[F.lit(x) for a, b in OPPOSITES for x in (a, b, b, a)])
     found = F.array_distinct(F.filter(F.transform(_tokens(title), lambda t: F.try_element_at(mapping, t)), lambda v: v.isNotNull()))
-    for a, b in OPPOSITES:
-        both = F.array_contains(found, a) & F.array_contains(found, b)
-        found = F.when(both, F.array_except(found, F.array(F.lit(a), F.lit(b)))).otherwise(found)
-    text = F.array_join(F.transform(found, capitalise), " ")
-    return F.when(text == "", F.lit("")).otherwise(F.concat(text, F.lit(" ")))
+    kept = bind(found, lambda all_of: F.filter(all_of, lambda v: ~F.coalesce(F.array_contains(all_of, F.try_element_at(opposite, v)), F.lit(False))))
+    return F.array_join(F.transform(kept, lambda v: F.concat(capitalise(v), F.lit(" "))), "")
 
 
 def quantity(title: Column | str) -> Column:
     """Kit before pair before set or pcs."""
-    words, found = _tokens(title), F.lit("")
-    for word, value in reversed(QUANTITIES.items()):
-        found = F.when(F.array_contains(words, word), value.capitalize()).otherwise(found)
-    return found
+
+    def first(words: Column) -> Column:
+        found = F.lit("")
+        for word, value in reversed(QUANTITIES.items()):
+            found = F.when(F.array_contains(words, word), value.capitalize()).otherwise(found)
+        return found
+
+    return bind(_tokens(title), first)
 
 
 def with_features(df: DataFrame) -> DataFrame:

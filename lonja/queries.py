@@ -208,7 +208,7 @@ def _phrase_sql(words: tuple[str, ...], source: str, key: str, text: str, pick:
     SELECT t.{key}, coalesce(v, '') AS {label} FROM t LEFT JOIN h ON t.{key} = h.{key}"""
 
 
-def _phrase_query(spark: SparkSession, sf_dir: str, several: Several, grams: bool | None = None) -> DataFrame:
+def _phrase_query(spark: SparkSession, sf_dir: str, several: Several, grams: bool = False) -> DataFrame:
     found = lookup.phrase_table(_words(spark, FRAME_WORDS), "word", ["value"])
     return lookup.phrase_lookup(_parts(spark, sf_dir), "p_name", found, several, grams=grams).select("p_partkey", "value")
 
@@ -534,10 +534,11 @@ def compat_cheapest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes["Procesadas"].select("Combinada", F.col("Precio2").cast("long").alias("Precio2"))
 
 
-@query(f"SELECT p_partkey FROM ({_KEPT}) WHERE u NOT IN (SELECT l_partkey::VARCHAR FROM lineitem WHERE l_suppkey % 5 = 0)")
+@query(f"SELECT p_partkey FROM ({_KEPT}) WHERE u NOT IN (SELECT (CASE WHEN l_partkey % 4 = 0 THEN -l_partkey ELSE l_partkey END)::VARCHAR FROM lineitem)")
 def compat_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = table(spark, sf_dir, "lineitem").where("l_suppkey % 5 = 0").selectExpr("cast(l_partkey as string) as `web-scraper-start-url`", "l_returnflag as Marca", "l_orderkey * 8 + l_linenumber as _ord")
-    return listing.compatibility(_products(spark, sf_dir), some, BRACKETS, listing.Mode.REPEATED)["No_Procesadas"].select("p_partkey")
+    """Every fourth part is written with another key on the order lines, so it has no match."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("cast(if(l_partkey % 4 = 0, -l_partkey, l_partkey) as string) as `web-scraper-start-url`", "l_returnflag as Marca", "l_orderkey * 8 + l_linenumber as _ord")
+    return listing.compatibility(_products(spark, sf_dir), lines, BRACKETS, listing.Mode.REPEATED)["No_Procesadas"].select("p_partkey")
 
 
 _LISTS = "SELECT l_partkey::VARCHAR AS u, string_agg(concat(l_returnflag, l_linestatus, '-', (l_suppkey % 10)::VARCHAR, '-', l_linenumber::VARCHAR), '@' ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS c FROM lineitem GROUP BY 1"

@@ -70,6 +70,8 @@ def test_grams_equal_theta(spark):
     for several in Several:
         one, two = (sorted(map(tuple, lookup.phrase_lookup(base, "t", found, several, grams=g).collect()), key=str) for g in (True, False))
         assert one == two and len(one) == 150
+        shuffled = lookup.phrase_lookup(base, "t", found, several, grams=True, sent_bytes=0)
+        assert sorted(map(tuple, shuffled.collect()), key=str) == one
     hits = {r._ord: r.v for r in lookup.phrase_lookup(base, "t", found, Several.FIRST).collect()}
     for i, t in texts:
         own = [v for _, k, v in keys if k in words or " " in k if f" {k} " in f" {t or ''} "]
