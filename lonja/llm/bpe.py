@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of texts in a group: larger groups repeat more pieces and take more memory, about ten times their size.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 6 << 20
 #: Distinct pieces that are encoded as one text, and texts whose ids are put together at once.
 _JOINED, _TEXTS = 8192, 512
 #: White space of any kind.

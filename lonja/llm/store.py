@@ -39,6 +39,11 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession):
+    """Fewer rows at once between the JVM and Python, whose both copies of a batch count against an executor's memory."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000")
+
+
 class Scratch:
     """One query's folder of intermediate tables.
 
@@ -58,7 +63,8 @@ class Scratch:
         writer = frame.write.mode("overwrite").option("compression", "zstd")
         for key, value in options.items():
             writer = writer.option(key.replace("__", "."), value)
-        writer.parquet(self.path(table))
+        with small_batches(self.spark):
+            writer.parquet(self.path(table))
         schema = frame.schema
         del frame, writer
         self.release()

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lonja.llm.bpe import encoder
+from lonja.llm.store import small_batches
 from lonja.llm.tables import pick
 
 #: Writer settings: row groups, pages, encodings.
@@ -60,6 +61,7 @@ def _encode(path: str, end_id: int | None) -> Callable[[Iterator[pa.RecordBatch]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
                 starts = pa.array(start + offsets[:-1])
                 start += int(offsets[-1])
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([piece.column("part"), piece.column("doc_id"), starts, pa.array(lengths), lists], ["part", "doc_id", "local_start", "n_tokens", "ids"])
 
     return run
@@ -75,7 +77,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     writer = coded.write.mode("overwrite")
     for key, value in WRITER.items():
         writer = writer.option(key, value)
-    writer.parquet(path)
+    with small_batches(spark):
+        writer.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
