@@ -1,4 +1,4 @@
-"""Image rejection: pixel rules D1 to D3, text rules D4 to D6, and the fast-then-slow cascade.
+"""Image rejection: pixel rules D1 to D3, text rules D4 to D6, the fast-then-slow cascade, and its run over URLs.
 
 Pixels are BGR or RGB bytes in rows; the rules on them are Arrow UDFs in numpy. The rules on recognised text are
 expressions over ``array<struct<bbox: array<array<float>>, text: string, confidence: float>>``. Text recognition itself is
@@ -7,7 +7,7 @@ a plug-in: no model weights ship with this library.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lonja.functions.pixels import BadImage, decode_bounded
 from lonja.functions.text import as_col, trim_space
+from lonja.operators.cells import pending
+from lonja.sources.fetch import FetchOptions, fetched
+from lonja.sources.verdicts import append_verdicts, load_verdicts, next_batch
 
 # Thresholds, motives and word lists of the rules are fixed values.
 BAND, BAND_ROWS, BAND_SATURATION, BAND_SHARE = 0.15, 10, 60, 0.55
@@ -146,9 +150,12 @@ def diagram(rgb: np.ndarray) -> str | None:
 PIXEL_RULES: dict[str, Callable[[np.ndarray], str | None]] = {"d1": banner, "d2": background, "d3": diagram}
 
 
+def first_reason(image: np.ndarray, rules: Sequence[str] = ("d1", "d2", "d3")) -> str | None:
+    return next((reason for r in rules if (reason := PIXEL_RULES[r](image)) is not None), None)
+
+
 def pixel_reason(height: Column, width: Column, rgb: Column, rules: Sequence[str] = ("d1", "d2", "d3")) -> Column:
     """Reason of the first pixel rule that rejects, null if none does. A broken image has the reason of its error."""
-    chosen = [PIXEL_RULES[r] for r in rules]
 
     @F.pandas_udf("string")
     def judge(h: pd.Series, w: pd.Series, data: pd.Series) -> pd.Series:
@@ -157,7 +164,7 @@ def pixel_reason(height: Column, width: Column, rgb: Column, rules: Sequence[str
                 image = np.frombuffer(raw, np.uint8).reshape(int(rows), int(columns), 3)
             except (TypeError, ValueError) as error:
                 return f"Imagen ilegible: {error}"
-            return next((reason for rule in chosen if (reason := rule(image)) is not None), None)
+            return first_reason(image, rules)
 
         return pd.Series([one(*x) for x in zip(h, w, data, strict=True)], dtype=object)
 
@@ -274,9 +281,84 @@ def judge_images(images: DataFrame, recognise: Callable[[DataFrame], DataFrame]
     fast = images.where(~missing).withColumn("reason", pixel_reason(F.col("height"), F.col("width"), F.col("rgb"), rules))
     lost = images.where(missing).select("idx", "col", F.lit(False).alias("approved"), F.coalesce(failure, F.lit("Sin imagen")).alias("reason"))
     out = lost.union(fast.where("reason is not null").select("idx", "col", F.lit(False), "reason"))
-    left = fast.where("reason is null")
+    return out.union(_judge_survivors(fast.where("reason is null"), recognise, text))
+
+
+def _judge_survivors(images: DataFrame, recognise: Callable[[DataFrame], DataFrame] | None, text: TextRules) -> DataFrame:
+    """Verdicts of the images that no pixel rule rejects."""
     if recognise is None:
-        return out.union(left.select("idx", "col", F.lit(True), F.lit("")))
-    read = recognise(left).withColumn("fragments", with_saturation(F.col("height"), F.col("width"), F.col("rgb"), F.col("fragments")))
+        return images.select("idx", "col", F.lit(True).alias("approved"), F.lit("").alias("reason"))
+    read = recognise(images).withColumn("fragments", with_saturation(F.col("height"), F.col("width"), F.col("rgb"), F.col("fragments")))
     judged = read.withColumn("reason", text_reason("fragments", F.col("height"), F.col("width"), text))
-    return out.union(judged.select("idx", "col", F.col("reason").isNull(), F.coalesce("reason", F.lit(""))))
+    return judged.select("idx", "col", F.col("reason").isNull().alias("approved"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def examine_urls(tasks: DataFrame, options: FetchOptions = FetchOptions(), rules: Sequence[str] = ("d1", "d2", "d3"), longest: int | None = 1280, pixels: bool = True) -> DataFrame:
+    """``tasks(idx, col, url)`` fetched, decoded and put to the pixel rules in one pass: ``idx, col, reason, height, width, rgb``.
+
+    Neither a file's content nor a rejected image's pixels leave the worker; with ``pixels`` off none do. An image that
+    could not be fetched or decoded, or whose judging failed, has that as its reason.
+    """
+
+    def judge(content: bytes | None, failure: str | None) -> tuple[str | None, int | None, int | None, bytes | None]:
+        if content is None:
+            return f"No se pudo descargar: {failure}", None, None, None
+        try:
+            image = decode_bounded(content, longest)
+            reason = first_reason(image, rules)
+        except BadImage:
+            return "Descargada, pero no es una imagen válida o supera los límites", None, None, None
+        except Exception:  # noqa: BLE001  one image must not end the run
+            return "Fallo interno al procesar la imagen", None, None, None
+        return reason, *image.shape[:2], image.tobytes() if pixels and reason is None else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in fetched(batches, options):
+            for at in range(0, len(group), 8):
+                part = group.iloc[at : at + 8]
+                found = [judge(c, f) for c, f in zip(part["content"], part["failure"], strict=True)]
+                yield part[["idx", "col"]].assign(**{name: pd.Series([x[i] for x in found], part.index, object) for i, name in enumerate(("reason", "height", "width", "rgb"))})
+
+    return tasks.select("idx", "col", "url").mapInPandas(run, "idx long, col string, reason string, height int, width int, rgb binary")
+
+
+def judge_urls(tasks: DataFrame, options: FetchOptions = FetchOptions(), recognise: Callable[[DataFrame], DataFrame] | None = None, rules: Sequence[str] = ("d1", "d2", "d3"), text: TextRules = TextRules(), longest: int | None = 1280) -> DataFrame:
+    """``tasks(idx, col, url)`` to verdicts ``(idx, col, approved, reason)``; only survivors of the pixel rules are read.
+
+    Without ``recognise`` each image is fetched once. With it the result is a union of two passes, so write the examined
+    images first (``resume`` does) where fetching twice matters.
+    """
+    return _verdicts(examine_urls(tasks, options, rules, longest, recognise is not None), recognise, text)
+
+
+def _verdicts(examined: DataFrame, recognise: Callable[[DataFrame], DataFrame] | None, text: TextRules) -> DataFrame:
+    if recognise is None:
+        return examined.select("idx", "col", F.col("reason").isNull().alias("approved"), F.coalesce("reason", F.lit("")).alias("reason"))
+    rejected = examined.where("reason is not null").select("idx", "col", F.lit(False).alias("approved"), "reason")
+    return rejected.union(_judge_survivors(examined.where("reason is null").drop("reason"), recognise, text))
+
+
+def resume(df: DataFrame, columns: Sequence[str], store: str, batches: int = 16, options: FetchOptions = FetchOptions(), recognise: Callable[[DataFrame], DataFrame] | None = None, rules: Sequence[str] = ("d1", "d2", "d3"), text: TextRules = TextRules(), order: str = "_ord", tasks: int | None = None) -> DataFrame:
+    """Judges the image cells that have no verdict in ``store`` and returns the verdicts of all.
+
+    The cells are dealt to ``batches`` by a hash of their place; each batch is added to the store when it is done, so a run
+    that is cut off goes on with the others. ``tasks`` is the number of partitions of a batch (the session's shuffle
+    partitions unless given): fetching waits rather than computes, and a few rows may mean many images. With a recogniser
+    the images that it must read are written beside the store for the time of a batch, so none is fetched twice.
+    """
+    spark = df.sparkSession
+    begin = next_batch(spark, store)
+    parts = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for k in range(batches):
+        left = pending(df, columns, load_verdicts(spark, store), order)
+        own = left.where(F.pmod(F.xxhash64("idx", "col"), F.lit(batches)) == k).repartition(parts, "idx", "col")
+        examined = examine_urls(own, options, rules, pixels=recognise is not None)
+        if recognise is not None:
+            path = f"{store.rstrip('/')}_examined"
+            examined.write.mode("overwrite").parquet(path)
+            examined = spark.read.parquet(path)
+        append_verdicts(_verdicts(examined, recognise, text), store, begin + k)
+        if recognise is not None:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return load_verdicts(spark, store)

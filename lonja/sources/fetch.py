@@ -96,15 +96,17 @@ def _once(url: str, options: FetchOptions) -> tuple[bytes | None, str | None, bo
     return None, "demasiadas redirecciones", False
 
 
-def fetch_images(tasks: DataFrame, options: FetchOptions = FetchOptions()) -> DataFrame:
-    """``tasks(idx, col, url)`` with ``content`` and ``failure``."""
+def fetched(batches: Iterator[pd.DataFrame], options: FetchOptions = FetchOptions()) -> Iterator[pd.DataFrame]:
+    """Small groups of the rows, ``url`` fetched into ``content`` or ``failure``; downloads of a group overlap."""
+    step = options.threads * 2
+    with ThreadPoolExecutor(options.threads) as pool:
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                found = list(pool.map(lambda u: fetch(u, options), part["url"]))
+                yield part.assign(content=[c for c, _ in found], failure=[f for _, f in found])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(options.threads) as pool:
-            for batch in batches:
-                for at in range(0, len(batch), options.threads * 2):
-                    part = batch.iloc[at : at + options.threads * 2]
-                    found = list(pool.map(lambda u: fetch(u, options), part["url"]))
-                    yield part.assign(content=[c for c, _ in found], failure=[f for _, f in found])
 
-    return tasks.select("idx", "col", "url").mapInPandas(run, "idx long, col string, url string, content binary, failure string")
+def fetch_images(tasks: DataFrame, options: FetchOptions = FetchOptions()) -> DataFrame:
+    """``tasks(idx, col, url)`` with ``content`` and ``failure``."""
+    return tasks.select("idx", "col", "url").mapInPandas(lambda batches: fetched(batches, options), "idx long, col string, url string, content binary, failure string")

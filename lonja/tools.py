@@ -13,11 +13,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lonja.operators import align, dups, lookup, order, rows
+from lonja.operators import align, cells, dups, lookup, order, rows
 from lonja.operators.lookup import Several
 from lonja.plans import combine as combining
+from lonja.plans import images as judging
 from lonja.plans import listing, titles
 from lonja.sources.csv import read_csv, write_csv
+from lonja.sources.fetch import FetchOptions
 from lonja.sources.xlsx import read_xlsx, write_xlsx
 
 MODES: dict[str, Callable[..., dict[str, DataFrame]]] = {}
@@ -143,6 +145,18 @@ def validate(spark: SparkSession, inputs: Sequence[str], brands: Sequence[str] =
     return titles.validate(read(spark, inputs), titles.Vocabulary(brands, critical, forbidden), change_oem=change_oem)
 
 
+@mode
+def images(spark: SparkSession, inputs: Sequence[str], store: str, columns: Sequence[str] = (), rejected_only: bool = False, batches: int = 16, allow_private: bool = False) -> dict[str, DataFrame]:
+    """Rows by the verdicts on their images (pixel rules); a second run with the same store judges only what is left."""
+    df = read(spark, inputs)
+    named = list(columns) or cells.url_columns(df)
+    if not named:
+        raise ValueError("no column holds image URLs")
+    verdicts = judging.resume(df, named, store, batches, FetchOptions(allow_private=allow_private))
+    result = cells.apply_verdicts(df, named, verdicts)
+    return {"Aprobadas": cells.approved_rows(result, named), "Rechazadas": cells.rejected_rows(result, df, named, rejected_only)}
+
+
 def main(arguments: Sequence[str] | None = None) -> None:
     from lonja.session import local_session
 

@@ -1,9 +1,18 @@
+import http.server
+import struct
+import threading
+import zlib
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from lonja import tools
 from lonja.functions import ocr
+from lonja.operators import cells
 from lonja.plans import images
+from lonja.sources.fetch import FetchOptions
 
 
 def solid(h, w, colour):
@@ -124,3 +133,80 @@ def test_reader_with_plugged_models():
 def test_swapped_bytes(spark):
     df = spark.createDataFrame(pd.DataFrame({"data": [bytes([1, 2, 3, 4, 5, 6])]}))
     assert bytes(df.select(images.bgr_to_rgb(F.col("data"))).first()[0]) == bytes([3, 2, 1, 6, 5, 4])
+
+
+@pytest.fixture
+def shop(tmp_path):
+    """A server of four images: plain, with a banner, damaged, and one that is not there."""
+
+    def png(image):
+        def chunk(name, data):
+            return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+        rows = b"".join(b"\0" + row.tobytes() for row in image)
+        head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 2, 0, 0, 0)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+    plain = solid(60, 60, (200, 200, 200))
+    red = plain.copy()
+    red[:20] = (220, 20, 20)
+    files = {"/plain.png": png(plain), "/red.png": png(red), "/broken.png": b"\x89PNG\r\n\x1a\n...."}
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append(self.path)
+            body = files.get(self.path)
+            self.send_response(200 if body else 404)
+            self.send_header("Content-Type", "image/png")
+            self.end_headers()
+            self.wfile.write(body or b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", seen, files
+    server.shutdown()
+
+
+def test_urls_to_verdicts_and_resume(spark, tmp_path, shop):
+    root, seen, _ = shop
+    rows = [(0, f"{root}/plain.png", f"{root}/red.png"), (1, f"{root}/broken.png", f"{root}/lost.png"), (2, None, "no url"), (3, f"{root}/red.png", None)]
+    df = spark.createDataFrame(rows, "_ord long, a string, b string")
+    options, store = FetchOptions(allow_private=True, attempts=1, timeout=5), str(tmp_path / "store")
+    found = {(r.idx, r.col): (r.approved, r.reason) for r in images.resume(df, ["a", "b"], store, 3, options).collect()}
+    assert found[0, "a"] == (True, "") and found[0, "b"][1].startswith("D1") and found[3, "a"] == found[0, "b"] and len(found) == 5
+    assert found[1, "a"][1] == "Descargada, pero no es una imagen válida o supera los límites" and found[1, "b"][1] == "No se pudo descargar: estado HTTP 404"
+    assert len(seen) == 5
+    more = df.union(spark.createDataFrame([(4, f"{root}/plain.png", None)], df.schema))
+    assert images.resume(more, ["a", "b"], store, 3, options).count() == 6 and len(seen) == 6
+    direct = {(r.idx, r.col): (r.approved, r.reason) for r in images.judge_urls(cells.cells(df, ["a", "b"]), options).collect()}
+    assert direct == found
+
+
+def test_resume_reads_text_of_survivors(spark, tmp_path, shop):
+    root, seen, _ = shop
+    df = spark.createDataFrame([(0, f"{root}/plain.png"), (1, f"{root}/red.png")], "_ord long, a string")
+
+    def make():
+        class Fake:
+            def read(self, image):
+                return [{"bbox": [[1.0, 1.0]] * 4, "text": "big sale", "confidence": 0.8}]
+
+        return Fake()
+
+    got = images.resume(df, ["a"], str(tmp_path / "s"), 1, FetchOptions(allow_private=True, attempts=1), ocr.recogniser(make))
+    assert {r.idx: r.reason[:2] for r in got.collect()} == {0: "D4", 1: "D1"} and len(seen) == 2
+    assert not (tmp_path / "s_examined").exists()
+
+
+def test_image_tool(spark, tmp_path, shop):
+    root, seen, _ = shop
+    (tmp_path / "in.csv").write_text(f"Sku,Foto 1,Foto 2\n1,{root}/red.png,{root}/plain.png\n2,{root}/red.png,\n")
+    routes = tools.images(spark, [str(tmp_path / "in.csv")], str(tmp_path / "store"), batches=2, allow_private=True)
+    # A cell without an image counts as approved, so the second row is among them, its image taken out.
+    assert sorted((r["Sku"], r["Foto 1"]) for r in routes["Aprobadas"].collect()) == [("1", f"{root}/plain.png"), ("2", "")]
+    assert sorted((r["Sku"], r["Motivo_Rechazo"][:13]) for r in routes["Rechazadas"].collect()) == [("1", "[Foto 1] D1·B"), ("2", "[Foto 1] D1·B")]
+    assert len(seen) == 3
