@@ -60,6 +60,10 @@ def test_column(spark, make_docs, corpus):
         data = (texts[r.doc_id] or "").encode()
         payload = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        signs = [b >= 128 for b in payload]
+        shape = f"sum={sum(b - 128 for b in payload)} energy={sum((b - 128) ** 2 for b in payload)} crossings={sum(x != y for x, y in zip(signs, signs[1:], strict=False))}"
+        bins = ",".join(str(sum(b // 32 == k for b in payload)) for k in range(8))
+        assert r.feature.startswith(f"seconds={len(payload) / ogg.RATE:.3f} streams=2 ") and f" {shape} bins={bins}" in r.feature
         assert r.whole and r.bad_pages == 0 and r.media_bytes > len(payload)
     same = [r for r in rows if r.doc_id in (30, 31, 32)]
     assert len({(r.media_sha256, r.feature) for r in same}) == 1

@@ -106,23 +106,59 @@ def test_allocation_equals_brute_force(tokenizer, rule):
         assert (counts.tolist(), gap) == sections_by_hand(tokenizer, text, spans, rule)
 
 
-def test_sections_of_documents(make_docs, corpus, tokenizer):
-    found = token_counts.section_tokens(make_docs(corpus), PATH).collect()
+def crossing_by_hand(tokenizer, text, spans, rule):
+    """Tokens of each span, tokens of each that also reach into another one, and tokens of none."""
+    counts, gap = sections_by_hand(tokenizer, text, spans, rule)
+    crossing = [0] * len(spans)
+    for a, b in tokenizer.encode(text, add_special_tokens=False).offsets:
+        held = [(min(b, e) - max(a, s), -i) for i, (s, e) in enumerate(spans) if min(b, e) > max(a, s)]
+        if len(held) > 1:
+            crossing[{"largest": -max(held)[1], "first": -max(x[1] for x in held), "last": -min(x[1] for x in held)}[rule]] += 1
+    return counts, crossing, gap
+
+
+def line_spans(text):
+    """A line with its line break."""
+    spans, at = [], 0
+    for line in text.splitlines(keepends=True) if "\n" in text else [text]:
+        spans.append((at, at + len(line)))
+        at += len(line)
+    return spans + ([(at, at)] if text.endswith("\n") else [])
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_of_documents(make_docs, corpus, tokenizer, rule):
+    rows = corpus + [(200, "a\n\n\n  b\n   \nword\n"), (201, "\n"), (202, "x\n" * 40), (203, "日本\n語\n\n\n")]
+    found = token_counts.section_tokens(make_docs(rows), PATH, rule).collect()
     per_doc = {}
     for r in found:
-        per_doc.setdefault(r.doc_id, []).append(r)
-    for doc, text in corpus:
-        total = len(tokenizer.encode(text, add_special_tokens=False).ids) if text else 0
-        own = per_doc.get(doc, [])
-        assert len(own) == (len(text.split("\n")) if text else 0)
-        assert sum(r.n_tokens for r in own) + (own[0].unassigned if own else 0) == total
-
-
-def test_fields(spark, tokenizer):
-    rows = spark.createDataFrame([(1, "a title", "body text here", None), (2, None, "", "x"), (2, None, "", "x")], "k int, title string, body string, note string")
-    found = token_counts.field_tokens(rows, "k", ["title", "body", "note"], PATH).collect()
-    assert len(found) == 9
-    assert sum(r.n_tokens for r in found if r.k == 1) == len(tokenizer.encode("a title\nbody text here\n", add_special_tokens=False).ids)
+        per_doc.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    crossings = 0
+    for doc, text in rows:
+        spans = line_spans(text) if text else []
+        counts, crossing, gap = crossing_by_hand(tokenizer, text or "", spans, rule)
+        total = len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+        expected = [(i, a, b, counts[i], crossing[i], total, gap) for i, (a, b) in enumerate(spans)]
+        assert sorted(per_doc.get(doc, [])) == expected
+        crossings += sum(crossing)
+    assert crossings
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_fields(spark, tokenizer, rule):
+    values = [(1, "a title", "body text here", None), (2, None, "", "x"), (2, None, "", "x"), (3, "ends ", "  begins", "\n\n"), (None, "", "", "")]
+    rows = spark.createDataFrame(values, "k int, title string, body string, note string")
+    names = ["title", "body", "note"]
+    found = [tuple(r) for r in token_counts.field_tokens(rows, "k", names, PATH, rule).collect()]
+    expected = []
+    for key, *fields in values:
+        texts = [x or "" for x in fields]
+        ends = [sum(len(t) + 1 for t in texts[: i + 1]) for i in range(3)]
+        spans = [(e - len(t) - 1, e) for e, t in zip(ends, texts, strict=True)]
+        spans[-1] = (spans[-1][0], spans[-1][1] - 1)
+        counts, crossing, _ = crossing_by_hand(tokenizer, "\n".join(texts), spans, rule)
+        expected += [(key, n, a, b) for n, a, b in zip(names, counts, crossing, strict=True)]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
 
 
 def test_unknown_rule(make_docs):
