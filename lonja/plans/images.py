@@ -171,6 +171,23 @@ def pixel_reason(height: Column, width: Column, rgb: Column, rules: Sequence[str
     return judge(height, width, rgb)
 
 
+def decoded(content: Column, longest: int | None = 1280) -> Column:
+    """``struct<height, width, rgb>`` of a file's bytes, longest side bounded; null fields where they are no image."""
+
+    @F.pandas_udf("height int, width int, rgb binary")
+    def run(data: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in data:
+            try:
+                image = decode_bounded(raw, longest) if raw is not None else None
+            except BadImage:
+                image = None
+            rows.append((None, None, None) if image is None else (*image.shape[:2], image.tobytes()))
+        return pd.DataFrame(rows, columns=["height", "width", "rgb"], dtype=object)
+
+    return run(content)
+
+
 def bgr_to_rgb(data: Column) -> Column:
     """Bytes of the image source in red, green, blue order."""
 

@@ -6,6 +6,7 @@ engines read, kept in the constants below and used in the query and in its SQL a
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,11 @@ from lonja.functions.urls import image_urls, is_image_url, item_id, listing_imag
 from lonja.operators import align, cells, dups, lookup, order, rows
 from lonja.operators.lookup import Several
 from lonja.plans import combine, images, listing, titles
+from lonja.session import shared_folder
+from lonja.sources import xlsx
+from lonja.sources.csv import read_csv, write_csv
+from lonja.sources.verdicts import append_verdicts, load_verdicts, next_batch
+from lonja.sources.xlsx import read_xlsx, write_xlsx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -757,3 +763,138 @@ def _solid(colour: str, pixels: int) -> str:
     """Bytes of a 60 x 60 image whose first pixels have a colour and the rest are light grey."""
     return f"unhex(concat(repeat('{colour}', {pixels}), repeat('C8C8C8', {3600 - pixels})))"
 
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'D3' END AS rule FROM nation")
+def image_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White 200 x 200 images, every other one with black lines in each eighth row and column."""
+    grid = "concat(repeat('000000', 200), repeat(concat('000000', repeat('FFFFFF', 7)), 175))"
+    data = F.expr(f"unhex(if(n_nationkey % 2 = 0, repeat({grid}, 25), repeat('FFFFFF', 40000)))")
+    reason = images.pixel_reason(F.lit(200), F.lit(200), data, ["d3"])
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.substring(reason, 1, 2).alias("rule"))
+
+
+_CHANNELS = [f"lpad(hex({value}), 2, '0')" for value in ("p_partkey % 256", "p_size", "7")]
+
+
+@query(
+    f"SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN 2 END AS height, CASE WHEN p_partkey % 5 > 0 THEN 3 END AS width, CASE WHEN p_partkey % 5 > 0 THEN repeat({' || '.join(_CHANNELS)}, 6) END AS rgb FROM part"
+)
+def image_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bitmaps of 3 x 2 pixels in one colour; every fifth one is cut off."""
+    head = "424D4E000000000000003600000028000000" + "03000000" + "02000000" + "0100" + "1800" + "00000000" * 6
+    row = f"concat(repeat(concat({', '.join(reversed(_CHANNELS))}), 3), '000000')"
+    content = F.expr(f"unhex(concat('{head}', {row}, if(p_partkey % 5 = 0, '', {row})))")
+    found = _parts(spark, sf_dir).select("p_partkey", images.decoded(content).alias("d"))
+    return found.select("p_partkey", "d.height", "d.width", F.hex("d.rgb").alias("rgb"))
+
+
+# Text rules with fragments at computed places
+
+_AT = "(p_partkey % 40) * 25.0"
+
+
+@query(f"SELECT p_partkey, (pow(least(x, 1000 - x), 2) * 2 <= 220 * 220 AND p_size > 25) AS logo FROM (SELECT p_partkey, p_size, {_AT} AS x FROM part)")
+def ocr_corner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word on the diagonal of an image of side 1000, as coloured as the part is large."""
+    fragment = F.expr(f"array(named_struct('bbox', array_repeat(array({_AT}, {_AT}), 4), 'text', 'logo', 'confidence', 0.9D, 'saturation', double(p_size)))")
+    found = images.fragment_reasons(fragment.cast("array<struct<bbox: array<array<double>>, text: string, confidence: double, saturation: double>>"), F.lit(1000.0), F.lit(1000.0))
+    return _parts(spark, sf_dir).select("p_partkey", (F.size(found) > 0).alias("logo"))
+
+
+@query("SELECT p_partkey, least(5, p_partkey % 9)::INTEGER AS reasons FROM part")
+def ocr_reason_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = "named_struct('bbox', array_repeat(array(500D, 500D), 4), 'text', 'sale now', 'confidence', 0.9D, 'saturation', 0D)"
+    reason = images.text_reason(F.expr(f"array_repeat({one}, int(p_partkey % 9))"), F.lit(1000.0), F.lit(1000.0))
+    return _parts(spark, sf_dir).select("p_partkey", F.when(reason.isNull(), 0).otherwise(F.size(F.split(reason, r" \| "))).alias("reasons"))
+
+
+# Columns and rows by name and place
+
+
+@query("SELECT NULL::VARCHAR AS extra, p_size::VARCHAR AS p_size, p_partkey::VARCHAR AS p_partkey, p_name FROM part")
+def align_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    return align.align(df, ["extra", "p_size", "p_partkey"], extras=True)
+
+
+@query(f"SELECT p_partkey, coalesce({OPTION}, '') AS a, coalesce({MIXED}, '') AS b FROM part")
+def fill_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.fill_text(_parts(spark, sf_dir, a=OPTION, b=MIXED), ["a", "b", "no such column"]).select("p_partkey", "a", "b")
+
+
+@query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def take_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by their place, as often as orders name them."""
+    places = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("_ord"))
+    return align.take_rows(table(spark, sf_dir, "customer", "c_custkey").select("_ord", "c_custkey", "c_name"), places).select("o_orderkey", "c_custkey", "c_name")
+
+
+@query("SELECT n_nationkey, coalesce(sum(n_regionkey) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM nation")
+def prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summed = order.prefix_sum(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey")
+    return summed.select("n_nationkey", F.col("before").cast("long").alias("before"))
+
+
+_SHEET = "case p_partkey % 5 when 0 then concat('Hoja', cast(p_size as string)) when 1 then concat(' HOJA', cast(p_size as string), ' ') when 2 then 'hoja' when 3 then concat('hoja', cast(p_size as string), 'b') else 'Resumen' end"
+
+
+@query(f"SELECT p_partkey, regexp_matches(s, '^hoja[0-9]+$') AND s <> 'hoja1' AS compatibility FROM (SELECT p_partkey, lower(trim({_SHEET})) AS s FROM part)")
+def compat_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir, s=_SHEET).select("p_partkey", listing.is_compatibility_sheet("s").alias("compatibility"))
+
+
+@query("SELECT i AS position, name FROM (SELECT generate_subscripts(n, 1) AS i, unnest(n) AS name FROM (SELECT ['a', 'Columna_2', 'b', 'a_1', 'Columna_5', 'a_2'] AS n))")
+def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = align.header_names(["a", " ", " b ", "a", None, "a"])
+    return spark.createDataFrame(list(enumerate(names, 1)), "position int, name string").withColumn("position", F.col("position").cast("long"))
+
+
+# Files: written, then read back
+
+
+@query("SELECT p_partkey::VARCHAR AS p_partkey, p_name, concat('say \"', p_type, '\",' || chr(10) || ' ', p_brand) AS note FROM part")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with quotes, commas and line breaks come back as they were."""
+    path = shared_folder(spark, "csv") + "/parts"
+    df = table(spark, sf_dir, "part", "p_partkey").selectExpr("p_partkey", "p_name", r"concat('say \"', p_type, '\",\n ', p_brand) as note", "_ord")
+    write_csv(df, path)
+    return read_csv(spark, [path]).select("p_partkey", "p_name", "note")
+
+
+@query("SELECT s_suppkey::VARCHAR AS s_suppkey, concat('<', s_name, ' & co>') AS s_name, CASE WHEN s_suppkey % 3 > 0 THEN concat('00', s_nationkey::VARCHAR) END AS code FROM supplier")
+def xlsx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "supplier", "s_suppkey").selectExpr("s_suppkey", "concat('<', s_name, ' & co>') as s_name", "if(s_suppkey % 3 > 0, concat('00', cast(s_nationkey as string)), null) as code", "_ord")
+    path = write_xlsx(df, _new_book(spark))
+    return read_xlsx(spark, f"file:{path}").select("s_suppkey", "s_name", "code")
+
+
+@query("SELECT r_name AS sheet, count(*) AS rows FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def xlsx_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet a region."""
+    nations = table(spark, sf_dir, "nation", "n_nationkey")
+    regions = [(r.r_regionkey, r.r_name) for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    path = write_xlsx({name: nations.where(F.col("n_regionkey") == key) for key, name in regions}, _new_book(spark))
+    return xlsx.catalogue(spark, f"file:{path}").select("sheet", "rows")
+
+
+@query("SELECT n_name AS word FROM nation WHERE n_nationkey % 4 > 0")
+def xlsx_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "nation", "n_nationkey").selectExpr("if(n_nationkey % 4 > 0, n_name, '') as word", "_ord")
+    return xlsx.read_words(spark, f"file:{write_xlsx(words, _new_book(spark))}").select("word")
+
+
+def _new_book(spark: SparkSession) -> str:
+    folder = shared_folder(spark, "xlsx").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    return f"{folder}/book.xlsx"
+
+
+@query("SELECT p_partkey AS idx, 'Imagen 1' AS col, p_partkey % 3 > 0 AND p_partkey % 2 = 1 AS approved, CASE WHEN p_partkey % 3 = 0 THEN 'D2·á \"x\"' WHEN p_partkey % 2 = 0 THEN 'D1' ELSE '' END AS reason FROM part")
+def verdict_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches; the later one judges every third cell again."""
+    path = shared_folder(spark, "verdicts") + "/store"
+    cells_of = _parts(spark, sf_dir).withColumns({"idx": F.col("p_partkey"), "col": F.lit("Imagen 1")})
+    append_verdicts(cells_of.selectExpr("idx", "col", "p_partkey % 2 = 1 as approved", "if(p_partkey % 2 = 1, '', 'D1') as reason"), path, next_batch(spark, path))
+    append_verdicts(cells_of.where("p_partkey % 3 = 0").selectExpr("idx", "col", "false as approved", "'D2·á \"x\"' as reason"), path, next_batch(spark, path))
+    return load_verdicts(spark, path)

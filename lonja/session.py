@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,13 @@ def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors see: below ``spark.checkpoint.dir``, or temporary on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return f"file:{tempfile.mkdtemp(prefix=f'lonja-{name}-')}"
