@@ -320,6 +320,8 @@ class XlsxWriter:
         self.open: dict[str, dict] = {}
         self.taken: set[str] = set()
         self.total, self.done = 0, False
+        #: Package types, and what stands before and after the rows of each sheet.
+        self.types = self.before = self.after = ""
 
     def _start(self, base: str, columns: list[str]) -> dict:
         state = self.open.setdefault(base, {"columns": columns, "parts": 0, "blanks": 0})
@@ -386,7 +388,7 @@ class XlsxWriter:
         head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
         numbers = range(1, len(self.sheets) + 1)
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kinds}.worksheet+xml"/>' for i in numbers)
-        out.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/>{parts}</Types>')
+        out.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/>{parts}{self.types}</Types>')
         out.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         names = "".join(f'<sheet name="{_clean(name).replace(chr(34), "&quot;")}" sheetId="{i}" r:id="rId{i}"/>' for i, (name, _) in enumerate(self.sheets, 1))
         out.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{names}</sheets></workbook>')
@@ -394,11 +396,11 @@ class XlsxWriter:
         out.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}</Relationships>')
         for i, (_, spool) in enumerate(self.sheets, 1):
             with out.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as part:
-                part.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
+                part.write(f'{head}<worksheet xmlns="{main}">{self.before}<sheetData>'.encode())
                 spool.seek(0)
                 while block := spool.read(1 << 20):
                     part.write(block)
-                part.write(b"</sheetData></worksheet>")
+                part.write(f"</sheetData>{self.after}</worksheet>".encode())
 
 
 def write_xlsx(routes: DataFrame | dict[str, DataFrame], path: str, rows_per_sheet: int = 1_000_000, order: str = "_ord", overwrite: bool = False) -> str:

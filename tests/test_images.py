@@ -1,7 +1,9 @@
 import http.server
 import struct
 import threading
+import zipfile
 import zlib
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -9,10 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lonja import tools
-from lonja.functions import ocr
+from lonja.functions import ocr, pixels
 from lonja.operators import cells
 from lonja.plans import images
+from lonja.sources import embed
 from lonja.sources.fetch import FetchOptions
+from lonja.sources.xlsx import read_xlsx
 
 
 def solid(h, w, colour):
@@ -210,3 +214,28 @@ def test_image_tool(spark, tmp_path, shop):
     assert sorted((r["Sku"], r["Foto 1"]) for r in routes["Aprobadas"].collect()) == [("1", f"{root}/plain.png"), ("2", "")]
     assert sorted((r["Sku"], r["Motivo_Rechazo"][:13]) for r in routes["Rechazadas"].collect()) == [("1", "[Foto 1] D1·B"), ("2", "[Foto 1] D1·B")]
     assert len(seen) == 3
+
+
+def test_workbook_with_images(spark, tmp_path, shop):
+    root, _, _ = shop
+    rows = [(0, "x", f"{root}/red.png, {root}/plain.png", "n"), (1, "y", f"{root}/broken.png", None), (2, None, None, "m"), (3, "z", None, "<&>")]
+    df = spark.createDataFrame(rows, "_ord long, Sku string, Foto string, Nota string")
+    path = embed.write_with_images(df, ["Foto"], str(tmp_path / "album.xlsx"), FetchOptions(allow_private=True, attempts=1))
+    back = [tuple(r) for r in read_xlsx(spark, path).orderBy("_ord").select("Sku", "Foto", "Foto_imagen_1", "Foto_imagen_2", "Nota").collect()]
+    assert back == [("x", rows[0][2], None, None, "n"), ("y", rows[1][2], "Error", None, None), (None, None, None, None, "m"), ("z", None, None, None, "<&>")]
+    with zipfile.ZipFile(path) as book:
+        for name in book.namelist():
+            if not name.endswith(".png"):
+                ElementTree.fromstring(book.read(name))
+        pictures = [pixels.decode(book.read(f"xl/media/img_{n}.png")) for n in (1, 2)]
+        drawing = book.read("xl/drawings/drawing1.xml").decode()
+        sheet = book.read("xl/worksheets/sheet1.xml").decode()
+    assert [p.shape for p in pictures] == [(168, 118, 3)] * 2 and pictures[0][0, 0].tolist() == [220, 20, 20] and (pictures[1] == 200).all()
+    assert drawing.count("<xdr:col>2</xdr:col>") == drawing.count("<xdr:col>3</xdr:col>") == 1 and drawing.count("<xdr:row>1</xdr:row>") == 2
+    assert 'defaultRowHeight="126.0"' in sheet and sheet.count("<col ") == 2
+
+
+def test_columns_of_a_full_sheet():
+    assert embed.granted({"a": 3, "c": 5}, ["a", "b", "c"]) == {"a": 3, "c": 5}
+    assert embed.granted({"a": 3, "c": 5}, ["a", "b", "c"], 8) == {"a": 3, "c": 2}
+    assert embed.pixels_to_points(168) == 126 and round(embed.pixels_to_width(118), 6) == 16.857143
