@@ -6,7 +6,6 @@ engines read, kept in the constants below and used in the query and in its SQL a
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +17,8 @@ from lonja.operators import align, cells, dups, lookup, order, rows
 from lonja.operators.lookup import Several
 from lonja.plans import combine, images, listing, titles
 from lonja.session import shared_folder
-from lonja.sources import xlsx
 from lonja.sources.csv import read_csv, write_csv
 from lonja.sources.verdicts import append_verdicts, load_verdicts, next_batch
-from lonja.sources.xlsx import read_xlsx, write_xlsx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -765,30 +762,6 @@ def _solid(colour: str, pixels: int) -> str:
 
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'D3' END AS rule FROM nation")
-def image_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """White 200 x 200 images, every other one with black lines in each eighth row and column."""
-    grid = "concat(repeat('000000', 200), repeat(concat('000000', repeat('FFFFFF', 7)), 175))"
-    data = F.expr(f"unhex(if(n_nationkey % 2 = 0, repeat({grid}, 25), repeat('FFFFFF', 40000)))")
-    reason = images.pixel_reason(F.lit(200), F.lit(200), data, ["d3"])
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.substring(reason, 1, 2).alias("rule"))
-
-
-_CHANNELS = [f"lpad(hex({value}), 2, '0')" for value in ("p_partkey % 256", "p_size", "7")]
-
-
-@query(
-    f"SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN 2 END AS height, CASE WHEN p_partkey % 5 > 0 THEN 3 END AS width, CASE WHEN p_partkey % 5 > 0 THEN repeat({' || '.join(_CHANNELS)}, 6) END AS rgb FROM part"
-)
-def image_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bitmaps of 3 x 2 pixels in one colour; every fifth one is cut off."""
-    head = "424D4E000000000000003600000028000000" + "03000000" + "02000000" + "0100" + "1800" + "00000000" * 6
-    row = f"concat(repeat(concat({', '.join(reversed(_CHANNELS))}), 3), '000000')"
-    content = F.expr(f"unhex(concat('{head}', {row}, if(p_partkey % 5 = 0, '', {row})))")
-    found = _parts(spark, sf_dir).select("p_partkey", images.decoded(content).alias("d"))
-    return found.select("p_partkey", "d.height", "d.width", F.hex("d.rgb").alias("rgb"))
-
-
 # Text rules with fragments at computed places
 
 _AT = "(p_partkey % 40) * 25.0"
@@ -862,34 +835,6 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, [path]).select("p_partkey", "p_name", "note")
 
 
-@query("SELECT s_suppkey::VARCHAR AS s_suppkey, concat('<', s_name, ' & co>') AS s_name, CASE WHEN s_suppkey % 3 > 0 THEN concat('00', s_nationkey::VARCHAR) END AS code FROM supplier")
-def xlsx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "supplier", "s_suppkey").selectExpr("s_suppkey", "concat('<', s_name, ' & co>') as s_name", "if(s_suppkey % 3 > 0, concat('00', cast(s_nationkey as string)), null) as code", "_ord")
-    path = write_xlsx(df, _new_book(spark))
-    return read_xlsx(spark, f"file:{path}").select("s_suppkey", "s_name", "code")
-
-
-@query("SELECT r_name AS sheet, count(*) AS rows FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
-def xlsx_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sheet a region."""
-    nations = table(spark, sf_dir, "nation", "n_nationkey")
-    regions = [(r.r_regionkey, r.r_name) for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
-    path = write_xlsx({name: nations.where(F.col("n_regionkey") == key) for key, name in regions}, _new_book(spark))
-    return xlsx.catalogue(spark, f"file:{path}").select("sheet", "rows")
-
-
-@query("SELECT n_name AS word FROM nation WHERE n_nationkey % 4 > 0")
-def xlsx_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "nation", "n_nationkey").selectExpr("if(n_nationkey % 4 > 0, n_name, '') as word", "_ord")
-    return xlsx.read_words(spark, f"file:{write_xlsx(words, _new_book(spark))}").select("word")
-
-
-def _new_book(spark: SparkSession) -> str:
-    folder = shared_folder(spark, "xlsx").removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
-    return f"{folder}/book.xlsx"
-
-
 @query("SELECT p_partkey AS idx, 'Imagen 1' AS col, p_partkey % 3 > 0 AND p_partkey % 2 = 1 AS approved, CASE WHEN p_partkey % 3 = 0 THEN 'D2·á \"x\"' WHEN p_partkey % 2 = 0 THEN 'D1' ELSE '' END AS reason FROM part")
 def verdict_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches; the later one judges every third cell again."""

@@ -239,3 +239,11 @@ def test_columns_of_a_full_sheet():
     assert embed.granted({"a": 3, "c": 5}, ["a", "b", "c"]) == {"a": 3, "c": 5}
     assert embed.granted({"a": 3, "c": 5}, ["a", "b", "c"], 8) == {"a": 3, "c": 2}
     assert embed.pixels_to_points(168) == 126 and round(embed.pixels_to_width(118), 6) == 16.857143
+
+
+def test_decoded_column(spark, shop):
+    files = shop[2]
+    rows = [(0, files["/plain.png"]), (1, files["/broken.png"]), (2, None)]
+    found = spark.createDataFrame(rows, "idx int, content binary").select("idx", images.decoded(F.col("content"), 30).alias("d")).orderBy("idx").select("d.*").collect()
+    assert (found[0].height, found[0].width, bytes(found[0].rgb)) == (30, 30, b"\xc8" * 2700)
+    assert [tuple(r) for r in found[1:]] == [(None, None, None)] * 2
