@@ -51,12 +51,22 @@ class TextRules:
     placeholders: Sequence[str] = field(default=PLACEHOLDERS)
 
 
+def _saturations() -> np.ndarray:
+    """8-bit saturation at 256 times the greatest plus the least channel value."""
+    high, low = np.arange(256.0)[:, None], np.arange(256.0)[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.where(high > 0, np.floor(255 * (high - np.minimum(low, high)) / high + 0.5), 0)
+    return s.astype(np.uint8).ravel()
+
+
+_SATURATION = _saturations()
+
+
 def saturation_value(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """8-bit saturation and value of an ``h x w x 3`` image."""
-    high, low = rgb.max(axis=2).astype(np.float64), rgb.min(axis=2).astype(np.float64)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        s = np.where(high > 0, np.floor(255 * (high - low) / high + 0.5), 0)
-    return s.astype(np.uint8), high.astype(np.uint8)
+    red, green, blue = rgb[..., 0], rgb[..., 1], rgb[..., 2]
+    high, low = np.maximum(np.maximum(red, green), blue), np.minimum(np.minimum(red, green), blue)
+    return _SATURATION.take((high.astype(np.intp) << 8) | low), high
 
 
 def luma(rgb: np.ndarray) -> np.ndarray:
@@ -65,10 +75,10 @@ def luma(rgb: np.ndarray) -> np.ndarray:
 
 def banner(rgb: np.ndarray) -> str | None:
     """D1: a saturated band at the top or the bottom."""
-    s, _ = saturation_value(rgb)
-    rows = min(max(int(np.float32(len(s)) * np.float32(BAND)), BAND_ROWS), len(s))
-    for name, band in (("superior", s[:rows]), ("inferior", s[len(s) - rows :])):
-        share = float((band > BAND_SATURATION).mean()) if band.size else 0.0
+    rows = min(max(int(np.float32(len(rgb)) * np.float32(BAND)), BAND_ROWS), len(rgb))
+    for name, pixels in (("superior", rgb[:rows]), ("inferior", rgb[len(rgb) - rows :])):
+        band, _ = saturation_value(pixels)
+        share = np.count_nonzero(band > BAND_SATURATION) / band.size if band.size else 0.0
         if share >= BAND_SHARE:
             return f"D1·Banner de color en zona {name} ({share * 100:.0f}% píxeles saturados)"
     return None
@@ -76,14 +86,13 @@ def banner(rgb: np.ndarray) -> str | None:
 
 def background(rgb: np.ndarray) -> str | None:
     """D2: dark or coloured corners."""
-    s, v = saturation_value(rgb)
-    h, w = s.shape
+    h, w = rgb.shape[:2]
     side = min(max(int(np.float32(min(h, w)) * np.float32(CORNER)), CORNER_SIDE), min(h, w))
     if not side:
         return None
-    spots = [(slice(0, side), slice(0, side)), (slice(0, side), slice(w - side, w)), (slice(h - side, h), slice(0, side)), (slice(h - side, h), slice(w - side, w))]
-    ss, vv = np.concatenate([s[p].ravel() for p in spots]).astype(float), np.concatenate([v[p].ravel() for p in spots]).astype(float)
-    share = float(((vv < DARK) | (ss > SATURATED)).mean())
+    spots = [rgb[:side, :side], rgb[:side, w - side :], rgb[h - side :, :side], rgb[h - side :, w - side :]]
+    ss, vv = saturation_value(np.stack(spots))
+    share = np.count_nonzero((vv < DARK) | (ss > SATURATED)) / vv.size
     if share > CORNER_SHARE:
         return f"D2·Fondo no neutro: {share * 100:.1f}% píxeles no neutros en esquinas (V_media={vv.mean():.0f}, S_media={ss.mean():.0f})"
     return None
@@ -95,14 +104,17 @@ def _filter3(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return np.einsum("ijkl,kl->ij", np.lib.stride_tricks.sliding_window_view(padded, kernel.shape), kernel)
 
 
-def canny(gray: np.ndarray, low: float = CANNY_LOW, high: float = CANNY_HIGH) -> np.ndarray:
-    """Edge mask: blur, Sobel gradients, thinning along the gradient, hysteresis."""
+def _gradient(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Horizontal and vertical Sobel gradients of the blurred image."""
     t = np.arange(-3, 4)
     bell = np.exp(-(t**2) / (2 * 1.4**2))
     smooth = _filter3(gray.astype(np.float64), np.outer(bell, bell) / bell.sum() ** 2)
     sobel = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], float)
-    gx, gy = _filter3(smooth, sobel), _filter3(smooth, sobel.T)
-    size = np.hypot(gx, gy)
+    return _filter3(smooth, sobel), _filter3(smooth, sobel.T)
+
+
+def _thinned(gx: np.ndarray, gy: np.ndarray, size: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Edge mask of gradients of this size: thinning along the gradient, hysteresis."""
     turn = (np.round(np.degrees(np.arctan2(gy, gx)) / 45).astype(int)) % 4
     padded = np.pad(size, 1)
     h, w = size.shape
@@ -122,6 +134,12 @@ def canny(gray: np.ndarray, low: float = CANNY_LOW, high: float = CANNY_HIGH) ->
         strong = grown
 
 
+def canny(gray: np.ndarray, low: float = CANNY_LOW, high: float = CANNY_HIGH) -> np.ndarray:
+    """Edge mask: blur, Sobel gradients, thinning along the gradient, hysteresis."""
+    gx, gy = _gradient(gray)
+    return _thinned(gx, gy, np.hypot(gx, gy), low, high)
+
+
 def straight_lines(edges: np.ndarray, votes: int = VOTES, radius: int = RADIUS) -> int:
     """Peaks of the Hough accumulator with a vote threshold and a suppression radius."""
     ys, xs = np.nonzero(edges)
@@ -138,9 +156,20 @@ def straight_lines(edges: np.ndarray, votes: int = VOTES, radius: int = RADIUS)
 
 
 def diagram(rgb: np.ndarray) -> str | None:
-    """D3: many edges and many straight lines."""
-    edges = canny(luma(rgb))
-    share = float(edges.mean()) if edges.size else 0.0
+    """D3: many edges and many straight lines.
+
+    The later steps only take pixels away, so an image goes through them only while it may still have edges enough. A
+    gradient is at most ``4 * sqrt(2)`` times the range of the luma, as the blur's weights sum to 1.
+    """
+    gray = luma(rgb)
+    if not gray.size or 6 * (gray.max() - gray.min()) <= CANNY_LOW:
+        return None
+    gx, gy = _gradient(gray)
+    size = np.hypot(gx, gy)
+    if (size > CANNY_LOW).mean() <= EDGE_SHARE:
+        return None
+    edges = _thinned(gx, gy, size, CANNY_LOW, CANNY_HIGH)
+    share = float(edges.mean())
     if share <= EDGE_SHARE:
         return None
     lines = straight_lines(edges)

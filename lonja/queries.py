@@ -753,7 +753,9 @@ def image_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic 60 x 60 images, one a part: saturated top band, dark corners, neutral, light."""
     data = F.expr(f"case p_partkey % 4 when 0 then {_solid('DC1414', 900)} when 1 then {_solid('000000', 3600)} else {_solid('000000', 0)} end")
     reason = images.pixel_reason(F.lit(60), F.lit(60), data)
-    return _parts(spark, sf_dir).select("p_partkey", F.when(reason.isNotNull(), F.substring(reason, 1, 2)).alias("rule"))
+    # A small file of keys is one task, and the keys stand for many bytes of pixels: they are dealt out first.
+    keys = _parts(spark, sf_dir).select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return keys.select("p_partkey", F.when(reason.isNotNull(), F.substring(reason, 1, 2)).alias("rule"))
 
 
 def _solid(colour: str, pixels: int) -> str:

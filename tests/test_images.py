@@ -45,6 +45,40 @@ def test_saturation_and_value():
     assert s.tolist() == [[191, 0, 0]] and v.tolist() == [[200, 0, 7]]
 
 
+def test_diagram_judges_by_the_whole_edge_mask():
+    """Leaving an image early changes no verdict: flat, faint, noisy and lined ones against all steps one after another."""
+    rng = np.random.default_rng(1)
+    lined = [solid(h, h, (250, 250, 250)) for h in (60, 150, 200)]
+    for image, step in zip(lined, (9, 11, 8), strict=True):
+        image[::step] = 0
+        image[:, ::step] = 0
+    noise = [np.repeat(rng.integers(200, high, (50, 40, 1)), 3, axis=2).astype(np.uint8) for high in (203, 209, 230, 256)]
+    noise.append(rng.integers(0, 256, (50, 40, 3)).astype(np.uint8))
+    faint = [solid(40, 30, (200, 200, 200)) for _ in range(3)]
+    for image, change in zip(faint, (8, 9, 20), strict=True):
+        image[:, 15:] += np.uint8(change)
+    for image in (solid(1, 1, (0, 0, 0)), solid(60, 60, (200, 200, 200)), *lined, *noise, *faint):
+        edges = images.canny(images.luma(image))
+        lines = images.straight_lines(edges)
+        rejected = edges.mean() > images.EDGE_SHARE and lines >= images.LINES
+        assert images.diagram(image) == (f"D3·Diagrama técnico: ratio_bordes={edges.mean():.3f}, líneas_rectas={lines}" if rejected else None)
+    assert all(images.diagram(image) for image in lined[1:])
+
+
+def test_image_without_contrast_is_not_searched_for_edges(monkeypatch):
+    monkeypatch.setattr(images, "_filter3", None)
+    image = solid(60, 60, (200, 200, 200))
+    image[20:, 30:] = (206, 206, 206)
+    assert images.first_reason(image) is None
+
+
+def test_images_of_one_small_file_are_judged_in_many_tasks(spark):
+    from lonja.queries import QUERIES
+
+    tasks = QUERIES["image_rules"](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fragment(text, confidence=0.9, at=500.0, saturation=0.0):
     return ([[at, at], [at + 10, at], [at + 10, at + 10], [at, at + 10]], text, confidence, saturation)
 
