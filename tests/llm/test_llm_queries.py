@@ -51,6 +51,25 @@ def test_query_equals_sql(result, name):
     assert sorted(repr([round(r[c], 6) if isinstance(r[c], float) else r[c] for c in columns]) for r in found) == by_sql
 
 
+# At most one edit between two lines, over characters, in the place of the engine's distance over bytes.
+_BY_CHARACTER = """
+CREATE MACRO levenshtein(a, b) AS CASE WHEN len(list_filter(range(0, least(length(a), length(b)) + 1), lambda p: left(a, p) = left(b, p)
+  AND (substr(a, p + 2) = substr(b, p + 2) OR substr(a, p + 2) = substr(b, p + 1) OR substr(a, p + 1) = substr(b, p + 2)))) > 0 THEN 1 ELSE 2 END
+"""
+
+
+def test_lines_equal_sql_over_characters(result):
+    with duckdb.connect() as db:
+        assert db.sql("select levenshtein('Are.', 'Ére.')").fetchall() == [(2,)]
+        db.sql(_BY_CHARACTER)
+        assert db.sql("select levenshtein('Are.', 'Ére.'), levenshtein('é', ''), levenshtein('ab', 'ba'), levenshtein('añb', 'ab'), levenshtein('', '')").fetchall() == [(1, 1, 2, 1, 1)]
+        db.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+        expected = db.sql(ORACLE_SQL["op8_line_dedup"])
+        by_sql = sorted(tuple(r) for r in expected.fetchall())
+        columns = expected.columns
+    assert sorted(tuple(r[c] for c in columns) for r in result("op8_line_dedup")) == by_sql
+
+
 def test_lines_equal_brute_force(result, documents):
     expected = lines_by_hand([(d, r.text) for d, r in documents.items()], 0)
     found = {r.doc_id: (r.n_lines, [int(n) for n in r.removed.split(",") if n]) for r in result("op8_line_dedup")}
