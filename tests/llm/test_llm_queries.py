@@ -70,6 +70,21 @@ def test_lines_equal_sql_over_characters(result):
     assert sorted(tuple(r[c] for c in columns) for r in result("op8_line_dedup")) == by_sql
 
 
+def test_lines_equal_sql_over_one_byte_characters(result, documents):
+    """With an unused ASCII character for each one beyond ASCII, bytes are characters: SQL and its distance need no change."""
+    used = set().union(*(r.text or "" for r in documents.values()))
+    beyond = sorted(c for c in used if not c.isascii())
+    unused = [chr(c) for c in range(1, 128) if chr(c) not in used | {"\n"}][: len(beyond)]
+    assert 0 < len(beyond) == len(unused)
+    found = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in result("op8_line_dedup")}
+    with duckdb.connect() as db:
+        db.execute(f"create table documents as select doc_id, translate(text, ?, ?) as text from read_parquet('{SF}/documents.parquet')", ["".join(beyond), "".join(unused)])
+        assert {d: tuple(rest) for d, *rest in db.sql(ORACLE_SQL["op8_line_dedup"]).fetchall()} == found
+        db.sql(f"create or replace table documents as select * from read_parquet('{SF}/documents.parquet')")
+        as_it_is = {d: removed for d, _, _, removed in db.sql(ORACLE_SQL["op8_line_dedup"]).fetchall()}
+    assert all(set(as_it_is[d].split(",")) - {""} <= set(removed.split(",")) for d, (_, _, removed) in found.items())
+
+
 def test_lines_equal_brute_force(result, documents):
     expected = lines_by_hand([(d, r.text) for d, r in documents.items()], 0)
     found = {r.doc_id: (r.n_lines, [int(n) for n in r.removed.split(",") if n]) for r in result("op8_line_dedup")}
