@@ -260,6 +260,24 @@ def test_lines_equal_brute_force(make_docs, scratch):
         assert texts[doc] == (None if text is None else "\n".join(line for n, line in enumerate(text.split("\n")) if n not in expected[doc][1]))
 
 
+def test_lines_by_bytes_equal_brute_force(make_docs, scratch):
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abéèñ日", k=rng.randint(0, 5))) for _ in range(25)]
+    rows = [(doc, "\n".join("".join(rng.choices("abéèñ日", k=1) + list(rng.choice(base)))[rng.randrange(2) :] for _ in range(rng.randint(0, 6)))) for doc in range(40)]
+    rows += [(100, None), (101, ""), (102, "Are. and more\nÉre. and more\nère. and more"), (103, "一" * 200 + "\n" + "一" * 199 + "丁\n" + "一" * 199)]
+
+    def found(docs, **options):
+        return {r.doc_id: (r.n_lines, list(r.removed)) for r in line_dedup.line_report(docs, line_dedup.removed_lines(docs, scratch, **options)).collect()}
+
+    as_bytes = [(d, t if t is None else t.encode().decode("latin-1")) for d, t in rows]
+    docs = make_docs(rows)
+    by_bytes = found(docs, by_bytes=True)
+    assert by_bytes == lines_by_hand(as_bytes, 0) != found(docs) == lines_by_hand(rows, 0)
+    assert by_bytes[102] == (3, [2]) and by_bytes[103] == (3, [1])
+    docs = make_docs([(1, "éééééé\néééééé\nééééééaaaa\nééééééaaaa")])
+    assert found(docs, by_bytes=True, least_chars=10) == {1: (4, [3])}
+
+
 def test_lines_use_no_python(make_docs, scratch):
     docs = make_docs([(1, "a line of text here\na line of text here"), (2, "a line of text here!")])
     removed = line_dedup.removed_lines(docs, scratch)

@@ -11,7 +11,10 @@ from tokenizers import Tokenizer
 
 import public_tokenizers
 from lonja.llm import decontam
+from lonja.llm.line_dedup import line_report, removed_lines
 from lonja.llm.queries import BYTE_BPE, ORACLE_SQL, QUERIES
+from lonja.llm.store import Scratch
+from lonja.llm.tables import numbered, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,6 +88,16 @@ def test_lines_equal_sql_over_one_byte_characters(result, documents):
     assert all(set(as_it_is[d].split(",")) - {""} <= set(removed.split(",")) for d, (_, _, removed) in found.items())
 
 
+def test_lines_by_bytes_equal_sql(spark):
+    """SQL and its distance unchanged: the operator, told to count bytes as that distance does, equals it."""
+    docs, scratch = numbered(table(spark, SF, "documents"), Scratch(spark, "lines")), Scratch(spark, "lines")
+    found = line_report(docs, removed_lines(docs, scratch, by_bytes=True)).collect()
+    with duckdb.connect() as db:
+        db.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+        by_sql = sorted(db.sql(ORACLE_SQL["op8_line_dedup"]).fetchall())
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, ",".join(map(str, r.removed))) for r in found) == by_sql
+
+
 def test_lines_equal_brute_force(result, documents):
     expected = lines_by_hand([(d, r.text) for d, r in documents.items()], 0)
     found = {r.doc_id: (r.n_lines, [int(n) for n in r.removed.split(",") if n]) for r in result("op8_line_dedup")}
